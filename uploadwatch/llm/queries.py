@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from uploadwatch.llm import decontam, dedup, packing, store, tokens
+from uploadwatch.llm import decontam, dedup, packing, secrets, store, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +33,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op3_token_counts, op4_decontamination, op8_token_store, op9_packing)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op3_token_counts, op4_decontamination, op8_token_store, op9_packing, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
