@@ -48,11 +48,11 @@ def cut_points(ids: np.ndarray) -> np.ndarray:
     """Where the rolling hash of the WINDOW ids before a position meets the mask."""
     if len(ids) <= WINDOW:
         return np.empty(0, np.int64)
-    mixed, total = _mixed(ids), np.zeros(len(ids) - WINDOW + 1, np.uint64)
-    factor = np.uint64(0x5851F42D4C957F2D)
-    for k in range(WINDOW):
-        total *= factor
-        total += mixed[k : k + len(total)]
+    total, span = _mixed(ids), 1
+    while span < WINDOW:  # hashes of twice as many ids, from two of the last length
+        power = np.uint64(pow(0x5851F42D4C957F2D, span, 1 << 64))
+        total = total[:-span] * power + total[span:]
+        span *= 2
     return np.flatnonzero(((total >> np.uint64(40)) & np.uint64(MASK)) == 0) + WINDOW
 
 
@@ -147,7 +147,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = TOKENIZER) -> None:
     )
     # A root can repeat (copies), so recipes are dealt by their id too.
     dealt = rows.repartition("kind", "address", "doc_id").sortWithinPartitions("kind", "address").mapInArrow(_keep_first, rows.schema)
-    dealt.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/pool")
+    # Chunks hardly ever repeat by then, so a dictionary of them only costs time.
+    dealt.write.partitionBy("kind").option("compression", "snappy").option("parquet.enable.dictionary", "false").parquet(f"{path}/pool")
     spark = docs.sparkSession
     recipes = spark.read.schema(rows.schema).parquet(f"{path}/pool").filter("kind = 1").select("doc_id", "n_tokens", "addresses", "sizes", F.col("address").alias("root"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("root")]
