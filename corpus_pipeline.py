@@ -1,20 +1,53 @@
-"""A training corpus from raw documents."""
+"""A training corpus from raw documents: five stages, each written and read again before the next.
+
+toxicity         documents that the model scores as toxic go; all others stay
+near duplicates  one document of each group of near copies stays
+decontamination  documents in which a benchmark window occurs go
+secrets          credentials are replaced in the text
+packing          what is left becomes length buckets and batches
+
+All but the last return the columns of documents.  Stages act on the rows they are given: rows with a null
+id or text pass the filters, as there is nothing to hold against them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from uploadwatch.llm import packing
+from uploadwatch.llm import decontam, dedup, packing, secrets, toxicity
 from uploadwatch.llm.common import scratch_path
 
 
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Batches for training, of all that is left."""
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return dedup.without_duplicates(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = secrets.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("packing", packed)]
-ORACLE_SQL = None
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", redact_secrets),
+    ("packing", pack),
+]
+ORACLE_SQL = None  # a trained model and a tokenizer take part
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,3 +124,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, w
     return joined.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("bigint")).alias("n_items"), F.sha2(F.coalesce("listed", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
     )
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, all their columns, in which no benchmark window occurs."""
+    found = materialize(spans(docs, benchmark).select(F.col("doc_id").alias("_doc"), F.col("_key").alias("_text")).distinct(), "contaminated")
+    text = F.col("text").cast("string")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_doc"]) & (F.xxhash64(text, F.length(text)) == found["_text"]), "left_anti")

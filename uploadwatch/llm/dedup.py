@@ -203,3 +203,17 @@ def _crossing(shared: DataFrame, known: DataFrame, turn: int, percent: int) -> t
     minor = still.filter(F.col("c") != F.col("centre.c")).select("bucket", F.col("u").alias("u2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
     crossing = still.join(minor, "bucket").filter(F.col("c") != F.col("c2")).filter((F.col("c") == F.col("centre.c")) | (F.col("u") < F.col("u2"))).filter(alike(F.col("n"), F.col("n2")))
     return crossing.select(*ordered(F.col("u"), F.col("u2"))).distinct(), True
+
+
+def without_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of docs, all its columns, for each group of near duplicates: that of the least doc_id, and of its rows the one whose text hashes lowest."""
+    found = materialize(near_duplicates(docs, width, percent), "judged")
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti")
+    again = found.filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("_rows")).filter("_rows > 1").select("_again")
+    if again.isEmpty():
+        return left
+    repeated = left["doc_id"].cast("bigint") == again["_again"]
+    rows = left.join(again, repeated, "left_semi")
+    one = rows.groupBy("doc_id").agg(F.min_by(F.struct(*rows.columns), row_key()).alias("_row")).select("_row.*")
+    return left.join(again, repeated, "left_anti").unionByName(one)
