@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uploadwatch.llm import chat, decontam, dedup, packing, secrets, store, tokens, topk, toxicity
+from uploadwatch.llm import chat, decontam, dedup, licenses, packing, secrets, store, tokens, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.store_and_read(table(spark, sf_dir, "documents"))
 
@@ -68,7 +72,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_topk_search, op3_token_counts, op4_decontamination, op5_chat_formatting, op6_toxicity, op8_token_store, op9_packing, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_topk_search, op3_token_counts, op4_decontamination, op5_chat_formatting, op6_toxicity, op7_license_scan, op8_token_store, op9_packing, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
