@@ -7,11 +7,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from uploadwatch import config
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
@@ -79,12 +80,12 @@ def token_set_similarity(a: str, b: str) -> float:
     return max(best, _indel(c, cx), _indel(c, cy)) if c else best
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity_of_canonical(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_similarity(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def best_similarity(title: pd.Series, catalog: pd.Series) -> pd.Series:
     """The highest similarity of a canonical title with any of a list."""
     known: dict[str, float] = {}
