@@ -6,10 +6,9 @@ densification).  Bins form 30 bands of 5, so a pair at similarity 0.85 shares no
 of 2e-8.  Documents with equal sets are one node.  Within a bucket of equal bands candidates form a star
 around one member, so their number is linear in the bucket; every candidate is confirmed on the full sets.
 
-Stars alone could lose a link between two members that the centre is not linked with.  So, after the
-components of all confirmed links are known, buckets that still hold several components get further stars
-around other members, and in the end every pair of such a bucket that crosses components, and whose sizes
-allow the similarity, is confirmed too.
+Stars alone could lose a link between two members of which the centre is linked with one at most.  So a
+star keeps how its members differ from the centre, and links between members of different components are
+found from those differences alone, exactly and without pairing all members (see crossing_links).
 
 Cases: a null or empty text, or one without words, has an empty set and is linked with nothing; rows that
 share an id are one document, linked if any of their texts is; a row with a null id takes no part and is
@@ -28,7 +27,6 @@ from pyspark.sql import functions as F
 from uploadwatch.llm.common import map_batches, materialize, row_key, text_bytes
 
 BANDS, ROWS = 30, 5
-STAR_ROUNDS = 4
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _BITS = np.uint64(32)
 
@@ -131,54 +129,60 @@ def components(edges: DataFrame) -> DataFrame:
         edges = materialize(small.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
 
 
+STARS = "a bigint, mark bigint, b bigint, n bigint, n_a bigint, linked boolean, novel array<bigint>, missing array<bigint>"
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
+    """For candidates (a, b), a the centre of a star: whether they are linked, and how b's set differs from a's.
+
+    mark tells texts of one centre apart; n and n_a are the sizes of the sets of b and a.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep, last, left = [], None, None
-        for a, x, y in zip(batch.column("a").to_pylist(), batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
+        columns: list[list] = [[] for _ in range(8)]
+        last, left, mark = None, None, 0
+        for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))):
             if (a, x) != last:
                 last, left = (a, x), shingle_set(x, width)
+                mark = int.from_bytes(hashlib.blake2b(left.tobytes(), digest_size=8).digest(), "little", signed=True)
             right = shingle_set(y, width)
-            common = len(np.intersect1d(left, right, assume_unique=True))
-            keep.append(100 * common >= percent * (len(left) + len(right) - common))
-        return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            novel, missing = np.setdiff1d(right, left, assume_unique=True), np.setdiff1d(left, right, assume_unique=True)
+            common = len(right) - len(novel)
+            linked = 100 * common >= percent * (len(left) + len(novel))
+            for c, v in zip(columns, (a, mark, b, len(right), len(left), linked, novel.view(np.int64), missing.view(np.int64))):
+                c.append(v)
+        kinds = [pa.int64()] * 5 + [pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in STARS.split(", ")])
 
     second = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     first = second.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return materialize(map_batches(first.select("a", "b", "text_a", "text_b"), run, "a bigint, b bigint").distinct(), "links")
+    return materialize(map_batches(first.select("a", "b", "text_a", "text_b"), run, STARS), "stars")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable), kept, for every row."""
     marked = materialize(signatures(docs, width, bands, rows), "signatures")
     named = marked.filter("doc_id is not null and set_key is not null")
-    sets = materialize(named.groupBy("set_key").agg(F.min("doc_id").alias("u"), F.min("n_shingles").alias("n"), F.min_by("bands", "doc_id").alias("bands")), "sets")
-    buckets = sets.select("u", "n", F.explode("bands").alias("bucket"))
-    heads = buckets.groupBy("bucket").agg(F.min("u").alias("head"), F.count("*").alias("members")).filter("members > 1")
-    shared = materialize(buckets.join(heads, "bucket").select("bucket", "u", "n", "head"), "buckets")
+    sets = materialize(named.groupBy("set_key").agg(F.min("doc_id").alias("u"), F.min_by("bands", "doc_id").alias("bands")), "sets")
+    buckets = sets.select("u", F.explode("bands").alias("bucket"))
+    heads = buckets.groupBy("bucket").agg(F.min("u").alias("a"), F.count("*").alias("members")).filter("members > 1")
+    pairs = materialize(buckets.join(heads, "bucket").filter("u <> a").select("a", F.col("u").alias("b")).distinct(), "pairs")
 
     repeats = named.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").limit(1).count() > 0
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).filter("doc_id is not null and text is not null")
     if repeats:
         texts = texts.withColumn("_key", row_key()).dropDuplicates(["doc_id", "_key"]).drop("_key")
-    texts = texts.select("doc_id", text_bytes().alias("text"))
+    stars = confirm(pairs, texts.select("doc_id", text_bytes().alias("text")), width, percent)
 
-    links = confirm(shared.filter("u <> head").select(F.col("head").alias("a"), F.col("u").alias("b")).distinct(), texts, width, percent)
+    links = stars.filter("linked").select("a", "b")
     if repeats:
         own = named.join(sets.select("set_key", "u"), "set_key").select("doc_id", "u").distinct()
         least = own.groupBy("doc_id").agg(F.min("u").alias("low"), F.max("u").alias("high")).filter("low < high")
         links = links.unionByName(own.join(least, "doc_id").filter("u > low").select(F.col("low").alias("a"), F.col("u").alias("b")))
     known = components(links)
-    for turn in range(1, STAR_ROUNDS + 1):
-        pairs, exhaustive = _crossing(shared, known, turn, percent)
-        if pairs is None:
-            break
-        found = confirm(pairs, texts, width, percent)
-        if not found.isEmpty():
-            known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
-        if exhaustive:
-            break
+    found = crossing_links(stars, known, percent)
+    if not found.isEmpty():
+        known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
 
     of_set = sets.select("set_key", "u").join(known.withColumnRenamed("node", "u"), "u", "left").select("set_key", F.coalesce("component", "u").alias("component"))
     whole = marked.join(of_set, "set_key", "left")
@@ -186,23 +190,47 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     return whole.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _crossing(shared: DataFrame, known: DataFrame, turn: int, percent: int) -> tuple[DataFrame | None, bool]:
-    """Candidates between different components of a bucket: a star around another member, or all if those are few or stars are used up."""
-    labelled = shared.join(known.withColumnRenamed("node", "u"), "u", "left").select("bucket", "u", "n", F.coalesce("component", "u").alias("c"))
-    stars = labelled.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("u", "n", "c"), F.xxhash64("bucket", "u", F.lit(turn))).alias("centre")).filter("low < high")
-    still = materialize(labelled.join(stars, "bucket").select("bucket", "u", "n", "c", "centre"), "open")
-    sizes = still.groupBy("bucket").agg(F.count("*").alias("m"), F.count_if(F.col("c") != F.col("centre.c")).alias("off"))
-    star, every = sizes.agg(F.coalesce(F.sum("off"), F.lit(0)), F.coalesce(F.sum(F.col("off") * F.col("m")), F.lit(0))).first()
-    if not every:
-        return None, True
-    alike = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    if turn < STAR_ROUNDS and every > 20 * star:
-        pairs = still.filter(F.col("c") != F.col("centre.c")).filter(alike(F.col("n"), F.col("centre.n"))).select(*ordered(F.col("u"), F.col("centre.u")))
-        return pairs.distinct(), False
-    minor = still.filter(F.col("c") != F.col("centre.c")).select("bucket", F.col("u").alias("u2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    crossing = still.join(minor, "bucket").filter(F.col("c") != F.col("c2")).filter((F.col("c") == F.col("centre.c")) | (F.col("u") < F.col("u2"))).filter(alike(F.col("n"), F.col("n2")))
-    return crossing.select(*ordered(F.col("u"), F.col("u2"))).distinct(), True
+def crossing_links(stars: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of one star that are in different components so far.
+
+    Members that share a bucket share its centre r, and their own sets follow from how they differ from r:
+    with N novel and M missing shingles, two members differ in |Nm ^ Nx| + |Mm ^ Mx| shingles, and are linked
+    if that is at most T = (100 - p) / (100 + p) * (nm + nx).  One of them, m, is outside r's component, so
+    |Nm| + |Mm| > T(m, r).  Either they share a novel shingle, which a join finds (novel shingles are rare);
+    or |Nm| + |Nx| + |Mm ^ Mx| <= T, which asks |Mx| > |Nx|, so x is shortened, and the least part of Mx that
+    must meet Mm is joined.  Copies that replace words have as many novel as missing shingles and never meet.
+    """
+    bound = (100 - percent) / (100 + percent)
+    label = known.select(F.col("node").alias("b"), F.col("component").alias("c"))
+    centre = known.select(F.col("node").alias("a"), F.col("component").alias("c_a"))
+    members = stars.join(label, "b", "left").join(centre, "a", "left").withColumns({"c": F.coalesce("c", "b"), "c_a": F.coalesce("c_a", "a"), "k": F.size("novel"), "m": F.size("missing")})
+    open_ = members.filter("c <> c_a").select("a", "mark").distinct()
+    members = materialize(members.join(open_, ["a", "mark"], "left_semi"), "members")
+    short = ["a", "mark", "b", "n", "c", "k", "m"]
+    probes = members.filter("c <> c_a")
+    renamed = [F.col(c).alias(f"{c}_2") if c not in ("a", "mark") else F.col(c) for c in short]
+    most = bound * (F.col("n") + F.col("n_2"))
+    gap = lambda x, y: F.abs(F.col(x) - F.col(y))
+    # A pair of two probes is met from either side; one is enough.
+    apart = (F.col("c") != F.col("c_2")) & (100 * F.least("n", "n_2") >= percent * F.greatest("n", "n_2"))
+    once = (F.col("c_2") == F.col("c_a_2")) | (F.col("b") < F.col("b_2"))
+    near = F.abs(F.col("k") + F.col("m") - F.col("k_2") - F.col("m_2")) <= most + 1e-6
+    shared = probes.select(*short, F.explode("novel").alias("e")).join(members.select(*renamed, F.col("c_a").alias("c_a_2"), F.explode("novel").alias("e")), ["a", "mark", "e"])
+    first = shared.filter(apart & once & near).select("a", "mark", "b", "b_2")
+    # At least (1 - bound) / 2 of x's differences are shared, all of them missing ones.
+    keep = F.greatest(F.lit(1), F.col("m") - F.floor((1 - bound) / 2 * (F.col("k") + F.col("m"))).cast("int"))
+    index = members.filter("m > k").select(*renamed, F.explode(F.slice(F.array_sort("missing"), 1, keep)).alias("e"))
+    close = F.col("k") + F.col("k_2") + gap("m", "m_2") <= most + 1e-6
+    second = probes.select(*short, F.explode("missing").alias("e")).join(index, ["a", "mark", "e"]).filter(apart & close).select("a", "mark", "b", "b_2")
+    pairs = first.unionByName(second).distinct()
+    own = members.select("a", "mark", "b", "n", "novel", "missing")
+    other = own.select("a", "mark", *(F.col(c).alias(f"{c}_2") for c in ("b", "n", "novel", "missing")))
+    both = pairs.join(own, ["a", "mark", "b"]).join(other, ["a", "mark", "b_2"])
+    common = F.size(F.array_intersect("novel", "novel_2")) + F.size(F.array_intersect("missing", "missing_2"))
+    differ = F.size("novel") + F.size("missing") + F.size("novel_2") + F.size("missing_2") - 2 * common
+    # Twice the intersection and twice the union.
+    linked = both.filter(100 * (F.col("n") + F.col("n_2") - differ) >= percent * (F.col("n") + F.col("n_2") + differ))
+    return materialize(linked.select(F.col("b").alias("a"), F.col("b_2").alias("b")).distinct(), "links")
 
 
 def without_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
