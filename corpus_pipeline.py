@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from uploadwatch.llm import decontam, dedup, packing, secrets, toxicity
-from uploadwatch.llm.common import scratch_path
+from uploadwatch.scratch import scratch_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

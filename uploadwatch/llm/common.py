@@ -1,60 +1,14 @@
-"""Shared pieces of the training-data operators: scratch tables, keys and ordered numbering."""
+"""Shared pieces of the training-data operators: keys, batches and ordered numbering."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_OWN_ROOT: dict[str, str] = {}
-_MADE: list[tuple[SparkSession, str]] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only where the setting is absent (local tests) does a temporary folder take its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_ROOT:
-        _OWN_ROOT[app] = "file://" + tempfile.mkdtemp(prefix="uploadwatch-")
-    return _OWN_ROOT[app]
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    path = f"{scratch_root(spark)}/uploadwatch/{label}-{uuid.uuid4().hex}"
-    _MADE.append((spark, path))
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-@atexit.register
-def _drop_all() -> None:
-    for spark, path in _MADE:
-        if spark.sparkContext._jsc is not None:
-            drop_path(spark, path)
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from uploadwatch.scratch import materialize
 
 def text_bytes(column: str = "text") -> Column:
     """UTF-8 bytes of a text column; null counts as the empty text."""

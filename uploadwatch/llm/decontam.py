@@ -23,7 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from uploadwatch.llm.common import materialize, row_key
+from uploadwatch.llm.common import row_key
+from uploadwatch.scratch import materialize
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -35,8 +36,11 @@ def words_of(text: Column) -> Column:
 
 
 def _shingles(words: Column, width: int) -> Column:
-    """A hash per position; the last ones cover fewer words and are settled by comparison."""
-    return F.transform(words, lambda w, i: F.xxhash64(w, *(F.get(words, i + k) for k in range(1, width))))
+    """A hash per position; the last ones cover fewer words and are settled by comparison.
+
+    Words are bound to a variable: a plain outer reference may be inlined and split the text anew for each word.
+    """
+    return F.get(F.transform(F.array(words), lambda ws: F.transform(ws, lambda w, i: F.xxhash64(w, *(F.get(ws, i + k) for k in range(1, width))))), F.lit(0))
 
 
 def anchors(benchmark: DataFrame, window: int = WINDOW, width: int = SHINGLE) -> DataFrame:
@@ -44,7 +48,7 @@ def anchors(benchmark: DataFrame, window: int = WINDOW, width: int = SHINGLE) ->
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
     items = items.select("item_id", words_of(F.translate("text", UPPER, LOWER)).alias("words"), words_of(F.lower("text")).alias("low")).filter("size(words) > 0")
     items = items.withColumn("size", F.least(F.size("words"), F.lit(window))).withColumn("width", F.least(F.size("words"), F.lit(width)))
-    hashes = F.transform("low", lambda w, i: F.xxhash64(F.array_join(F.slice("low", i + 1, F.col("width")), " ")))
+    hashes = F.get(F.transform(F.array("low"), lambda ws: F.transform(ws, lambda w, i: F.xxhash64(F.array_join(F.slice(ws, i + 1, F.col("width")), " ")))), F.lit(0))
     # The benchmark's own counts order the shingles; any order common to all windows is right.
     placed = items.withColumn("_id", F.xxhash64("item_id", "words")).select("*", F.posexplode(hashes).alias("p", "rough")).filter("p <= size(words) - width")
     rarity = placed.groupBy("rough").agg(F.count_distinct("_id").alias("items"))

@@ -24,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from uploadwatch.llm.common import map_batches, materialize, row_key, text_bytes
+from uploadwatch.llm.common import map_batches, row_key, text_bytes
+from uploadwatch.operators.components import components
+from uploadwatch.scratch import materialize
 
 BANDS, ROWS = 30, 5
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -109,26 +111,6 @@ def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS
     return map_batches(docs.select(F.col("doc_id").cast("bigint"), text_bytes()), run, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (its least node) for all nodes of edges (a, b), by alternating large and small stars.
-
-    Rounds are few as stars at least halve the depth; each is written to the shared folder.
-    """
-    edges = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    while True:
-        heads = edges.groupBy("a").agg(F.count("*").alias("n")).select(F.col("a").alias("node"), "n")
-        # Done if every node has one edge, to a node that has none down.
-        deep = edges.join(heads.select(F.col("node").alias("b")), "b", "left_semi").limit(1).count()
-        if not deep and not heads.filter("n > 1").limit(1).count():
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
-        edges = materialize(small.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-
-
 STARS = "a bigint, mark bigint, b bigint, n bigint, n_a bigint, linked boolean, novel array<bigint>, missing array<bigint>"
 
 

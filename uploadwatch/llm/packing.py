@@ -16,8 +16,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from uploadwatch.llm.common import in_order, materialize
+from uploadwatch.llm.common import in_order
 from uploadwatch.llm.tokens import TOKENIZER, token_counts
+from uploadwatch.scratch import materialize
 
 BUCKETS, BUDGET = 16, 65_536
 EXACT, STEPS = 1024, 256

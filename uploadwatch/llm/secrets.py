@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from uploadwatch.llm.common import materialize, row_key
+from uploadwatch.llm.common import row_key
+from uploadwatch.scratch import materialize
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # what AKIA[A-Z0-9]+ matches with 16 characters or more

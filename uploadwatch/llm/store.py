@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from uploadwatch.llm.codec import codec, decode_texts, tokenizer_path
-from uploadwatch.llm.common import in_order, map_batches, scratch_path, text_bytes
+from uploadwatch.llm.common import in_order, map_batches, text_bytes
 from uploadwatch.llm.tokens import TOKENIZER
+from uploadwatch.scratch import scratch_path
 
 END_ID = 0
 WINDOW, LEAST, MASK, MOST = 16, 64, 0xFF, 4096  # ids: hash window, least chunk, one cut in 256, longest chunk
