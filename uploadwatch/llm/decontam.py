@@ -115,9 +115,9 @@ def _long_enough() -> Column:
     return ~within & (past - first >= F.col("size"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, width: int = SHINGLE) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, width: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row."""
-    found = spans(docs, benchmark, window, width).groupBy("doc_id", "_key").agg(F.collect_set(F.struct("first", "past")).alias("spans"), F.collect_set("item_id").alias("items"))
+    found = spans(docs, benchmark, window, width, block).groupBy("doc_id", "_key").agg(F.collect_set(F.struct("first", "past")).alias("spans"), F.collect_set("item_id").alias("items"))
     hit = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["past"] - 1)))))
     listed = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     found = found.select(F.col("doc_id").alias("_doc"), F.col("_key").alias("_text"), hit.cast("bigint").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), listed.alias("listed"))

@@ -93,6 +93,11 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     return fit([np.frombuffer(r["features"], np.int32) for r in got], marks)
 
 
+def _probability(sums: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-sums))
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
     at, values, bias = model
@@ -103,7 +108,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshol
         dense[shared.value[0]] = shared.value[1]
         for batch in batches:
             sums = np.array([dense[features(t)].sum(dtype=np.float64) for t in batch.column("text").to_pylist()]) + bias
-            scores = 1 / (1 + np.exp(-np.clip(sums, -700, 700)))
+            scores = _probability(sums)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id").cast("bigint")).alias("held_out"), text_bytes().alias("text"))
@@ -125,6 +130,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
         dense[shared.value[0]] = shared.value[1]
         for batch in batches:
             sums = np.array([dense[features(t or b"")].sum(dtype=np.float64) for t in batch.column(place).cast(pa.binary()).to_pylist()]) + bias
-            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(sums, -700, 700))) < threshold))
+            yield batch.filter(pa.array(_probability(sums) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
