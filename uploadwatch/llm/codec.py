@@ -1,10 +1,10 @@
 """Tokenizer access that stays exact while most of a text is looked up instead of encoded.
 
-A byte-level BPE that splits text with the common pattern always starts a new pre-token at a single
-space between two non-space characters.  A text can therefore be cut there, and the ids of each piece
-(its leading space included) depend on nothing around it.  Pieces and pre-tokens repeat; their ids are
-kept in bounded dictionaries and only unseen pre-tokens go to the library's model.  Pieces with special
-tokens or uncommon characters go through the whole library, and other tokenizers encode whole texts.
+A byte-level BPE encodes each pre-token for itself.  Texts of common characters are split by the public
+pattern; their pre-tokens repeat, so ids are kept in a bounded dictionary and only unseen pre-tokens go to
+the library's model.  Of other texts, pieces are: a pre-token always starts at a single space between two
+non-space characters, so a text can be cut there.  Pieces with special tokens or uncommon characters go
+through the whole library, and other tokenizers encode whole texts.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Callable
 import numpy as np
 
 PIECE_LIMIT = 128  # longer pieces are worked out each time
-CACHE_LIMIT = 500_000  # entries of a dictionary; then it starts anew
+CACHE_LIMIT = 900_000  # entries of a dictionary; then it starts anew
 _ODD = "\u180e\u200b\u2060\ufeff"  # white space to some Unicode versions only
 SAFE_CUT = re.compile(rf"(?<=[^\s{_ODD}]) (?=[^\s{_ODD}])")
 
@@ -89,6 +89,8 @@ class PieceMap:
         return self.part(" " + piece)
 
     def of(self, text: str) -> bytes:
+        if _COMMON(text) and not self.context(text):
+            return b"".join(map(self.words.__getitem__, _SPLIT_COMMON(text)))
         head, *rest = text.split(" ")
         found = list(map(self.pieces.__getitem__, rest))
         if None not in found and not head[-1:].isspace() and head[-1:] not in tuple(_ODD):
@@ -133,7 +135,7 @@ class Codec:
                 letters = byte_letters()
                 tokenize = self.library.model.tokenize
                 self.map = PieceMap(
-                    lambda word: self.pack([t.id for t in tokenize(word.encode().decode("latin-1").translate(letters))]),
+                    lambda word: self.pack([t.id for t in tokenize(word.replace(" ", "\u0120") if word.isascii() and word.lstrip(" ").isprintable() else word.encode().decode("latin-1").translate(letters))]),
                     lambda text: self.direct([text])[0],
                     "|".join(map(re.escape, self.special)) or "(?!)",
                 )
