@@ -89,30 +89,30 @@ def _covered(matches: DataFrame) -> DataFrame:
     shift = F.col("d") - F.col("at")
 
     def differing(words: Column, fold: bool) -> Column:
-        same = lambda c, i: F.coalesce((F.lower(c) if fold else c) == F.get(words, shift + i), F.lit(False))
-        return F.filter(F.sequence(F.lit(0), F.size("context") - 1), lambda i: ~same(F.get(F.col("context"), i), i))
-
-    # lower() and lower case of A-Z agree unless other letters have two cases.
-    plain = ~F.array_join("context", "").rlike(r"[^\x00-\x7F]") & ~F.col("text").rlike("[Kİ]")
-    rough = matches.select("doc_id", "_key", "item_id", "text", "context", "d", "at", "size", "width", plain.alias("plain"), differing(F.col("low"), True).alias("off"))
-    rough = rough.filter(_long_enough())
-    exact = F.when(F.col("plain"), F.col("off")).otherwise(differing(words_of(F.translate("text", UPPER, LOWER)), False))
-    sure = rough.withColumn("off", exact).filter(_long_enough())
-    first, past = _run()
-    return sure.select("doc_id", "_key", "item_id", (shift + first).alias("first"), (shift + past).alias("past"))
-
-
-def _run() -> tuple[Column, Column]:
-    """The agreeing run around the shingle, within the context."""
-    first = F.coalesce(F.array_max(F.filter("off", lambda i: i < F.col("at"))) + 1, F.lit(0))
-    past = F.coalesce(F.array_min(F.filter("off", lambda i: i >= F.col("at") + F.col("width"))), F.size("context"))
-    return first, past
-
-
-def _long_enough() -> Column:
-    first, past = _run()
-    within = F.exists("off", lambda i: (i >= F.col("at")) & (i < F.col("at") + F.col("width")))
-    return ~within & (past - first >= F.col("size"))
+        """Places of the context whose word is another; words are bound once, not worked out for each place."""
+        same = lambda ws, c, i: F.coalesce((F.lower(c) if fold else c) == F.get(ws, shift + i), F.lit(False))
+        places = F.sequence(F.lit(0), F.size("context") - 1)
+        return F.get(F.transform(F.array(words), lambda ws: F.filter(places, lambda i: ~same(ws, F.get(F.col("context"), i), i))), F.lit(0))
+
+    # lower() and lower case of A-Z agree on ASCII, but for two letters whose lower case begins with an ASCII one.
+    plain = ~F.array_join("context", "").rlike(r"[^\x00-\x7F]") & ~F.col("text").rlike("[\u212a\u0130]")
+    rough = matches.withColumn("run", _run(differing(F.col("low"), True))).filter("run is not null")
+    exact = F.when(plain, F.col("run")).otherwise(_run(differing(words_of(F.translate("text", UPPER, LOWER)), False)))
+    sure = rough.withColumn("run", exact).filter("run is not null")
+    return sure.select("doc_id", "_key", "item_id", (shift + F.col("run.first")).alias("first"), (shift + F.col("run.past")).alias("past"))
+
+
+def _run(differing: Column) -> Column:
+    """first, past of the agreeing run around the shingle, within the context; null if it is shorter than a window or the shingle itself differs."""
+    at, end = F.col("at"), F.col("at") + F.col("width")
+
+    def settle(off: Column) -> Column:
+        first = F.coalesce(F.array_max(F.filter(off, lambda i: i < at)) + 1, F.lit(0))
+        past = F.coalesce(F.array_min(F.filter(off, lambda i: i >= end)), F.size("context"))
+        good = ~F.exists(off, lambda i: (i >= at) & (i < end)) & (past - first >= F.col("size"))
+        return F.when(good, F.struct(first.alias("first"), past.alias("past")))
+
+    return F.get(F.transform(F.array(differing), settle), F.lit(0))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, width: int = SHINGLE, block: int = BLOCK) -> DataFrame:
