@@ -175,41 +175,41 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 def crossing_links(stars: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of one star that are in different components so far.
 
-    Members that share a bucket share its centre r, and their own sets follow from how they differ from r:
-    with N novel and M missing shingles, two members differ in |Nm ^ Nx| + |Mm ^ Mx| shingles, and are linked
-    if that is at most T = (100 - p) / (100 + p) * (nm + nx).  One of them, m, is outside r's component, so
-    |Nm| + |Mm| > T(m, r).  Either they share a novel shingle, which a join finds (novel shingles are rare);
-    or |Nm| + |Nx| + |Mm ^ Mx| <= T, which asks |Mx| > |Nx|, so x is shortened, and the least part of Mx that
-    must meet Mm is joined.  Copies that replace words have as many novel as missing shingles and never meet.
+    Members that share a bucket share its centre r, and their sets follow from their differences D from r.
+    Members m and x are linked if |Dm| + |Dx| - 2 |Dm & Dx| <= T = (100 - p) / (100 + p) * (nm + nx), so they
+    share at least (|Dm| + |Dx| - T) / 2 differences.  As | |Dm| - |Dx| | <= T, that is |D| - T or more for
+    either; and as m is not linked with r, it is more than (1 - t) / 2 * |Dx| for x.  With the differences in
+    one order, rarest first, both leading parts must meet, and early enough for the rest to suffice (prefix
+    and positional filter).  Replaced words make differences that no other copy has, and these come first,
+    so copies of one text that are too far apart hardly ever meet.
     """
-    bound = (100 - percent) / (100 + percent)
+    t = (100 - percent) / (100 + percent)
     label = known.select(F.col("node").alias("b"), F.col("component").alias("c"))
     centre = known.select(F.col("node").alias("a"), F.col("component").alias("c_a"))
-    members = stars.join(label, "b", "left").join(centre, "a", "left").withColumns({"c": F.coalesce("c", "b"), "c_a": F.coalesce("c_a", "a"), "k": F.size("novel"), "m": F.size("missing")})
-    open_ = members.filter("c <> c_a").select("a", "mark").distinct()
-    members = materialize(members.join(open_, ["a", "mark"], "left_semi"), "members")
-    short = ["a", "mark", "b", "n", "c", "k", "m"]
-    probes = members.filter("c <> c_a")
-    renamed = [F.col(c).alias(f"{c}_2") if c not in ("a", "mark") else F.col(c) for c in short]
-    most = bound * (F.col("n") + F.col("n_2"))
-    gap = lambda x, y: F.abs(F.col(x) - F.col(y))
-    # A pair of two probes is met from either side; one is enough.
-    apart = (F.col("c") != F.col("c_2")) & (100 * F.least("n", "n_2") >= percent * F.greatest("n", "n_2"))
-    once = (F.col("c_2") == F.col("c_a_2")) | (F.col("b") < F.col("b_2"))
-    near = F.abs(F.col("k") + F.col("m") - F.col("k_2") - F.col("m_2")) <= most + 1e-6
-    shared = probes.select(*short, F.explode("novel").alias("e")).join(members.select(*renamed, F.col("c_a").alias("c_a_2"), F.explode("novel").alias("e")), ["a", "mark", "e"])
-    first = shared.filter(apart & once & near).select("a", "mark", "b", "b_2")
-    # At least (1 - bound) / 2 of x's differences are shared, all of them missing ones.
-    keep = F.greatest(F.lit(1), F.col("m") - F.floor((1 - bound) / 2 * (F.col("k") + F.col("m"))).cast("int"))
-    index = members.filter("m > k").select(*renamed, F.explode(F.slice(F.array_sort("missing"), 1, keep)).alias("e"))
-    close = F.col("k") + F.col("k_2") + gap("m", "m_2") <= most + 1e-6
-    second = probes.select(*short, F.explode("missing").alias("e")).join(index, ["a", "mark", "e"]).filter(apart & close).select("a", "mark", "b", "b_2")
-    pairs = first.unionByName(second).distinct()
-    own = members.select("a", "mark", "b", "n", "novel", "missing")
-    other = own.select("a", "mark", *(F.col(c).alias(f"{c}_2") for c in ("b", "n", "novel", "missing")))
-    both = pairs.join(own, ["a", "mark", "b"]).join(other, ["a", "mark", "b_2"])
-    common = F.size(F.array_intersect("novel", "novel_2")) + F.size(F.array_intersect("missing", "missing_2"))
-    differ = F.size("novel") + F.size("missing") + F.size("novel_2") + F.size("missing_2") - 2 * common
+    joined = stars.join(label, "b", "left").join(centre, "a", "left").withColumns({"c": F.coalesce("c", "b"), "c_a": F.coalesce("c_a", "a"), "differences": F.concat("novel", "missing")})
+    open_ = joined.filter("c <> c_a").select("a", "mark").distinct()
+    members = materialize(joined.join(open_, ["a", "mark"], "left_semi").select("a", "mark", "b", "n", "c", "c_a", "differences", F.size("differences").alias("k"), F.xxhash64("differences").alias("h")), "members")
+    # h tells several texts of one document apart.
+    elements = members.select("a", "mark", "b", "h", "n", "c", "c_a", "k", F.explode("differences").alias("e"))
+    counts = elements.groupBy("a", "mark", "e").agg(F.count("*").alias("f"))
+    ordered = elements.join(counts, ["a", "mark", "e"]).groupBy("a", "mark", "b", "h", "n", "c", "c_a", "k").agg(F.sort_array(F.collect_set(F.struct("f", "e"))).alias("order"))
+    apart = F.ceil(F.col("k") - t * (1 + 100 / percent) * F.col("n") - 1e-6)
+    own = F.greatest(F.lit(1), apart)
+    as_partner = F.greatest(F.lit(1), apart, F.floor((1 - t) / 2 * F.col("k")) + 1)
+    leading = lambda least: F.posexplode(F.slice("order", 1, (F.col("k") - least + 1).cast("int"))).alias("pos", "x")
+    ordered = materialize(ordered, "ordered")
+    probes = ordered.filter("c <> c_a").select("a", "mark", "b", "n", "c", "k", leading(own)).filter("x.f > 1").withColumn("e", F.col("x.e"))
+    partners = ordered.select("a", "mark", "b", "n", "c", "c_a", "k", leading(as_partner)).filter("x.f > 1").withColumn("e", F.col("x.e"))
+    renamed = partners.select("a", "mark", "e", *(F.col(c).alias(f"{c}_2") for c in ("b", "n", "c", "c_a", "k", "pos")))
+    needed = (F.col("k") + F.col("k_2") - t * (F.col("n") + F.col("n_2"))) / 2 - 1e-6
+    reachable = F.least(F.col("k") - F.col("pos"), F.col("k_2") - F.col("pos_2"))
+    # Two probes meet from either side.
+    fits = (F.col("c") != F.col("c_2")) & (100 * F.least("n", "n_2") >= percent * F.greatest("n", "n_2")) & (reachable >= needed)
+    pairs = probes.join(renamed, ["a", "mark", "e"]).filter(fits).select("a", "mark", F.least("b", "b_2").alias("b"), F.greatest("b", "b_2").alias("b_2")).distinct()
+    one = members.select("a", "mark", "b", "n", "differences")
+    other = one.select("a", "mark", *(F.col(c).alias(f"{c}_2") for c in ("b", "n", "differences")))
+    both = pairs.join(one, ["a", "mark", "b"]).join(other, ["a", "mark", "b_2"])
+    differ = F.size("differences") + F.size("differences_2") - 2 * F.size(F.array_intersect("differences", "differences_2"))
     # Twice the intersection and twice the union.
     linked = both.filter(100 * (F.col("n") + F.col("n_2") - differ) >= percent * (F.col("n") + F.col("n_2") + differ))
     return materialize(linked.select(F.col("b").alias("a"), F.col("b_2").alias("b")).distinct(), "links")
