@@ -7,8 +7,7 @@ can cover: each is extended word by word over the item's windows that hold the s
 a whole window agrees.  DataFrame functions only.
 
 Words are runs of characters other than ASCII punctuation, space and control characters, in lower case for
-A-Z.  Hashes are taken over lower(text), which can only unite words; where that could matter, words of the
-text itself decide.
+A-Z.  Hashes are taken over lower(word), which can only unite words; the words themselves decide.
 
 The benchmark side is broadcast in blocks of at most BLOCK shingles, so its size is bounded whatever the
 benchmark's; further blocks are further passes.
@@ -20,6 +19,8 @@ further columns are not read.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,13 +41,14 @@ def _shingles(words: Column, width: int) -> Column:
 
     Words are bound to a variable: a plain outer reference may be inlined and split the text anew for each word.
     """
-    return F.get(F.transform(F.array(words), lambda ws: F.transform(ws, lambda w, i: F.xxhash64(w, *(F.get(ws, i + k) for k in range(1, width))))), F.lit(0))
+    low = F.transform(words, lambda w: F.lower(w))
+    return F.get(F.transform(F.array(low), lambda ws: F.transform(ws, lambda w, i: F.xxhash64(w, *(F.get(ws, i + k) for k in range(1, width))))), F.lit(0))
 
 
 def anchors(benchmark: DataFrame, window: int = WINDOW, width: int = SHINGLE) -> DataFrame:
     """hash, width, item_id, context (words of all windows that hold the shingle), at (the shingle's place in it), size (of a window)."""
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
-    items = items.select("item_id", words_of(F.translate("text", UPPER, LOWER)).alias("words"), words_of(F.lower("text")).alias("low")).filter("size(words) > 0")
+    items = items.select("item_id", words_of(F.translate("text", UPPER, LOWER)).alias("words"), F.transform(words_of(F.col("text")), lambda w: F.lower(w)).alias("low")).filter("size(words) > 0")
     items = items.withColumn("size", F.least(F.size("words"), F.lit(window))).withColumn("width", F.least(F.size("words"), F.lit(width)))
     hashes = F.get(F.transform(F.array("low"), lambda ws: F.transform(ws, lambda w, i: F.xxhash64(F.array_join(F.slice(ws, i + 1, F.col("width")), " ")))), F.lit(0))
     # The benchmark's own counts order the shingles; any order common to all windows is right.
@@ -67,39 +69,28 @@ def spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, width: in
     """doc_id, _key (of the row's text), item_id, first, past: word intervals that windows of the item cover."""
     found = materialize(anchors(benchmark, window, width), "anchors")
     sizes = sorted((r["width"], r["n"]) for r in found.groupBy("width").agg(F.count("*").alias("n")).collect())
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null").withColumn("_key", row_key())
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null")
+    words = texts.select("doc_id", row_key().alias("_key"), words_of(F.col("text")).alias("words"))
     parts = []
     for k, n in sizes:
-        listed = texts.select("*", words_of(F.lower("text")).alias("low"))
-        listed = listed.select("*", F.posexplode(_shingles(F.col("low"), k)).alias("d", "hash"))
+        # Over a plain column the generator is compiled, so words are not copied for each position; an outer one
+        # infers no filter on the size of the hashes, for which they would be worked out twice.
+        listed = words.withColumn("hashes", _shingles(F.col("words"), k)).select("doc_id", "_key", "words", F.posexplode_outer("hashes").alias("d", "hash"))
         blocks = -(-n // block)
         for b in range(blocks):
-            side = found.filter(F.col("width") == k).filter(F.pmod("hash", F.lit(blocks)) == b)
-            parts.append(listed.join(F.broadcast(side.withColumnRenamed("width", "_width")), "hash").select("*", F.lit(k).alias("width")))  # at most about BLOCK rows
+            side = found.filter(F.col("width") == k)
+            side = side.filter(F.pmod("hash", F.lit(blocks)) == b) if blocks > 1 else side
+            start = F.greatest(F.col("d") - F.col("at"), F.lit(0))
+            near = F.slice("words", start + 1, F.size("context"))
+            parts.append(listed.join(F.broadcast(side), "hash").select("doc_id", "_key", "item_id", "context", "at", "size", "width", (F.col("d") - F.col("at")).alias("shift"), start.alias("start"), near.alias("near")))  # broadcasts about BLOCK rows at most
     if not parts:
-        return texts.select("doc_id", "_key", F.lit(None).cast("bigint").alias("item_id"), F.lit(0).alias("first"), F.lit(0).alias("past")).limit(0)
-    met = [_covered(p) for p in parts]
-    out = met[0]
-    for more in met[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def _covered(matches: DataFrame) -> DataFrame:
-    shift = F.col("d") - F.col("at")
-
-    def differing(words: Column, fold: bool) -> Column:
-        """Places of the context whose word is another; words are bound once, not worked out for each place."""
-        same = lambda ws, c, i: F.coalesce((F.lower(c) if fold else c) == F.get(ws, shift + i), F.lit(False))
-        places = F.sequence(F.lit(0), F.size("context") - 1)
-        return F.get(F.transform(F.array(words), lambda ws: F.filter(places, lambda i: ~same(ws, F.get(F.col("context"), i), i))), F.lit(0))
-
-    # lower() and lower case of A-Z agree on ASCII, but for two letters whose lower case begins with an ASCII one.
-    plain = ~F.array_join("context", "").rlike(r"[^\x00-\x7F]") & ~F.col("text").rlike("[\u212a\u0130]")
-    rough = matches.withColumn("run", _run(differing(F.col("low"), True))).filter("run is not null")
-    exact = F.when(plain, F.col("run")).otherwise(_run(differing(words_of(F.translate("text", UPPER, LOWER)), False)))
-    sure = rough.withColumn("run", exact).filter("run is not null")
-    return sure.select("doc_id", "_key", "item_id", (shift + F.col("run.first")).alias("first"), (shift + F.col("run.past")).alias("past"))
+        return words.select("doc_id", "_key", F.lit(None).cast("bigint").alias("item_id"), F.lit(0).alias("first"), F.lit(0).alias("past")).limit(0)
+    # Written first: as a join condition, the comparison would keep the join from being compiled.
+    met = materialize(functools.reduce(DataFrame.unionByName, parts), "matches")
+    exact = lambda i: F.translate(F.get("near", F.col("shift") + i - F.col("start")), UPPER, LOWER)
+    differing = F.filter(F.sequence(F.lit(0), F.size("context") - 1), lambda i: ~F.coalesce(F.get("context", i) == exact(i), F.lit(False)))
+    sure = met.withColumn("run", _run(differing)).filter("run is not null")
+    return sure.select("doc_id", "_key", "item_id", (F.col("shift") + F.col("run.first")).alias("first"), (F.col("shift") + F.col("run.past")).alias("past"))
 
 
 def _run(differing: Column) -> Column:
