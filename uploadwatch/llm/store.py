@@ -35,6 +35,7 @@ from uploadwatch.scratch import scratch_path
 
 END_ID = 0
 WINDOW, LEAST, MASK, MOST = 16, 64, 0xFF, 4096  # ids: hash window, least chunk, one cut in 256, longest chunk
+ROWS = 256
 SEEN_LIMIT = 200_000  # addresses that a map task remembers as sent
 
 
@@ -80,7 +81,8 @@ def _rows(path: str):
         source = codec(path)
         width, end = source.dtype.itemsize, source.pack([END_ID])
         seen: set[bytes] = set()
-        for batch in batches:
+        # A few hundred documents at a time: the hashes of a whole batch would take 30 bytes for each of its ids.
+        for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             if len(seen) > SEEN_LIMIT:
                 seen.clear()
             streams = [x + end for x in source.encode(decode_texts(batch.column(1)))]
