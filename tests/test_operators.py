@@ -68,6 +68,17 @@ def test_fuzzy_pairs_by_brute_force(spark):
     assert {(r.a, r.b) for r in cluster.fuzzy_edges(detections(spark, rows), salts=3).collect()} == wanted
 
 
+def test_fuzzy_pairs_with_repeated_words(spark):
+    from uploadwatch.functions.text import token_set_similarity
+
+    titles = ["bola bola bola bola", "bolaa", "liga liga liga final final", "ligaa finals", "x"]
+    wanted = {(j, i) for i, t in enumerate(titles) for j, u in enumerate(titles) if i < j and token_set_similarity(t, u) >= config.FUZZY_THRESHOLD}
+    assert {(1, 0), (3, 2)} <= wanted
+    d = detections(spark, [(i, f"https://x/{i}", t) for i, t in enumerate(titles)])
+    assert {(r.a, r.b) for r in cluster.fuzzy_edges(d).collect()} == wanted
+    assert groups(cluster.deduplicate(d)) == [[0, 1], [2, 3], [4]]
+
+
 def test_canonical_choice(spark):
     d = detections(spark, [(0, "u", "t", "c", "xx", "2"), (1, "u", "t", "c", "xxx", "3"), (2, "u", "t", "c", "xxx", "2"), (3, "u", "t", "c", "xxx", "2")])
     assert [r.seq for r in cluster.pick_canonical(d, ["url"]).collect()] == [2]
