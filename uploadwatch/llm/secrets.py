@@ -25,9 +25,9 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # what AKIA[A-Z0-9]+ matches with 16 characters or more
 HEX = r"[0-9a-f]{32,}"
 LEAST_VALUE = 8
-BARE = r"(?<![A-Za-z0-9+/=_.-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_.-])"
+BARE = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])"
 ENDPOINT = r"(?i)\b(?:https?|postgres|postgresql|mysql|mongodb|redis|amqp|ftp)://[A-Za-z0-9.-]+(?::[0-9]+)?"
-USER = r"""(?i)\b(?:user|username|login|access_key_id|client_id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]+"""
+USER = r"""(?i)(?<![A-Za-z0-9])(?:user|username|login|access_key_id|client_id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]+"""
 KINDS = ("assign", "access", "hex", "secret", "endpoint")
 SCOPE = 400
 _SPANS = "array<struct<start:int,past:int,value:int>>"
