@@ -212,3 +212,35 @@ def test_licenses(spark):
     assert got == [
         (-1, "mit", 1, False), (1, "apache-2.0", 1, False), (2, "cc-by-nc-4.0,mit", 2, False), (3, "", 0, False), (4, "", 0, True), (5, "", 0, False), (6, "", 0, False), (7, "", 0, False), (7, "gpl-3.0", 1, False), (8, "cc-by-sa-4.0", 1, False), (9, "bsd", 1, False),
     ]
+
+
+def test_licenses_without_usual_words(spark):
+    rows = [(1, "Available under CC BY 4.0."), (2, "available under CC BY-SA 4.0."), (3, "Apache-2.0"), (4, "the old man went to the market and came home")]
+    got = {r.doc_id: (r.families, r.n_confirmed, r.n_unknown) for r in licenses.licenses(docs(spark, rows)).collect()}
+    assert got[1] == ("cc-by-4.0", 1, 0) and got[2] == ("cc-by-sa-4.0", 1, 0) and got[3][1:] != (0, 0) and got[4] == ("", 0, 0)
+
+
+def test_licence_bound_drops_only_other(spark):
+    rng = random.Random(5)
+    words = sorted({w for ts in licenses.TEMPLATES.values() for t in ts for w in t.split()}) + [f"word{i}" for i in range(200)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 30)))) for i in range(400)]
+    frame = docs(spark, rows)
+    model = licenses.fit(frame)
+    every = frame.selectExpr("text as paragraph")
+    scored = {r.paragraph: r.family for r in licenses.classify(every, model).collect()}
+    kept = {r.paragraph for r in licenses.paragraphs(frame, model).collect()}
+    assert {p for p, family in scored.items() if family != "other"} <= kept and not set(scored) <= kept
+
+
+GPL = ["# This program is free software under the terms of the", "# GNU General Public License, either version 3 or", "# any later version."]
+
+
+def test_wrapped_licenses(spark):
+    apache = "You may not use this file except in compliance with the Apache License 2.0."
+    rows = [
+        (1, "\n".join(["import os", *GPL, "x = 1"])), (2, "\r\n".join("// " + w for w in apache.split())), (3, "\n".join([*GPL, "nothing here", "Released under the MIT License.", *["plain words of text"] * 12, *GPL])),
+        (4, "We went home\nand slept."), (5, "Licensed under the Apache License, Version 2.0.\nLicensed under the Homegrown Terms License."),
+    ]
+    got = {r.doc_id: (r.families, r.n_confirmed, r.n_unknown) for r in licenses.licenses(docs(spark, rows)).collect()}
+    assert got.pop(2)[:2] == ("apache-2.0", 1)  # a word a line: what is left of it after the span that counts may be unsettled
+    assert got == {1: ("gpl-3.0", 1, 0), 3: ("gpl-3.0,mit", 3, 0), 4: ("", 0, 0), 5: ("apache-2.0", 1, 1)}

@@ -1,16 +1,19 @@
 """License scans (7): licence families of paragraphs, by a trained classifier that templates confirm.
 
-A paragraph (line) is classed by multinomial logistic regression over its distinct words and word pairs.
+A paragraph is a line, or neighbouring lines joined, as far as a notice of a template's length can wrap over
+them.  It is classed by multinomial logistic regression over its distinct words and word pairs.
 The model is trained on the driver from the template list below: variants with words left out and with
-words around them teach the families; paragraphs of the corpus (a bounded sample) and sentences that only
+words around them teach the families; lines of the corpus (a bounded sample) and sentences that only
 mention licences teach "other", and grants under made-up names teach "unknown".  An L1 penalty keeps few weights.  Half of all variants are kept back: on
 them a temperature calibrates the probabilities, and "unknown" also takes a paragraph for which no class
 reaches THRESHOLD.  A family counts as confirmed if a template of it shares at least
 CONFIRM of its words and pairs with the paragraph.
 
-Scoring uses DataFrame functions only.  Distinct paragraphs that hold a word of licence language are
-classed once, through a join of their features with the weights, and the result is joined back, so a line
-that stands in a third of all documents is classed once.
+Scoring uses DataFrame functions only.  A bound from the model's own weights drops paragraphs that score
+"other" whatever else they hold, and only those.  The rest are classed once each, through a join of their
+features with the weights, and the result is joined back, so a line that stands in a third of all
+documents is classed once.  Of overlapping paragraphs with one result the one that ends first, then the
+shortest, counts.
 
 Cases: null and empty texts hold no licence; rows that share a doc_id are judged each by its text; a null
 doc_id stays; further columns are not read; an empty table gives no rows.
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -48,12 +52,13 @@ OTHER = [
     "The permission to enter was granted by the guard at version two of the gate.", "A general of the public army released the prisoners under terms.", "The Apache people lived in the southwest.",
     "He studied at MIT before he moved.", "The Mozilla browser has a new version.", "The source of the river is free of charge to visit.", "The work is subject to change without notice.",
 ]
-#: Licence language; paragraphs without any of it are "other".
-GATE = r"(?i)licen[cs]|copyright|rights reserved|creative commons|permission is hereby|redistribution|public domain|\bcc0\b"
 #: Grants that name no known family; # is a name.
 UNKNOWN = ["Licensed under the # License.", "Released under the # License.", "This work is licensed under the # License, version 2.", "Distributed under the terms of the # Public License.", "SPDX-License-Identifier: LicenseRef-#", "Use is subject to the # Licence Agreement."]
 CLASSES = ("other", "unknown", *TEMPLATES)
 THRESHOLD, CONFIRM, SAMPLE = 0.7, 0.6, 400
+PIECE = 600  # characters of a sampled line, from a place its hash chooses
+SLOTS = 1 << 15
+_LINES = r"[\r\n]+"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -78,6 +83,10 @@ def train(negatives: list[str], seed: int = 11, rounds: int = 300) -> tuple[list
         for _ in range(24):
             rows.append((form.replace("#", " ".join(rng.choice(filler).capitalize() for _ in range(rng.choice((1, 1, 2))))), 1))
     rows += [(p, 0) for p in negatives] + [(p, 0) for p in OTHER for _ in range(12)]
+    # Where the corpus has few lines, made-up words among short ones teach that what is not known is "other".
+    short = sorted({w for t in (*OTHER, *(t for ts in TEMPLATES.values() for t in ts)) for w in re.findall(r"\b[a-z]{1,3}\b", t)})
+    made = lambda: rng.choice(short) if rng.random() < 0.4 else "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9)))
+    rows += [(" ".join(made() for _ in range(rng.randrange(1, 30))), 0) for _ in range(SAMPLE - len(negatives))]
     rng.shuffle(rows)
     half = len(rows) // 2
     sets = [paragraph_features(p) for p, _ in rows]
@@ -110,11 +119,66 @@ def _features(paragraph: Column) -> Column:
     return F.array_distinct(F.concat(words, F.when(F.size(words) > 1, F.slice(pairs, 1, F.size(words) - 1)).otherwise(F.array().cast("array<string>"))))
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, _key, paragraph: lines that hold a word of licence language."""
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").rlike(GATE)).withColumn("_key", row_key())
-    lines = F.filter(F.split("text", r"[\r\n]+", -1), lambda p: p.rlike(GATE))
-    return texts.select("doc_id", "_key", F.explode(F.transform(lines, lambda p: F.trim(p))).alias("paragraph"))
+#: Words of the longest template: a notice that wraps from line i to line j holds all words of the lines between.
+LONGEST = max(len(re.findall(_WORD, t)) for ts in TEMPLATES.values() for t in ts)
+
+
+def margins(spark, model: tuple[list[tuple[str, list[float]]], list[float]]) -> tuple[Callable[[Column], Column], float]:
+    """What a feature's hash adds, at most, to any class's lead over "other", and the sum of leads up to which "other" keeps THRESHOLD.
+
+    With z the scores, "other" has probability 1 / (1 + sum exp(z[c] - z[0])).  No lead exceeds its bias and the
+    sum over features of max(w[c] - w[0]), so a sum up to the limit leaves "other" at THRESHOLD or above.
+    """
+    weights, bias = model
+    limit = float(np.log((1 / THRESHOLD - 1) / np.exp(np.array(bias[1:]) - bias[0]).sum())) - 1e-6
+    lead = {f: max(x - w[0] for x in w[1:]) for f, w in weights}
+    held: dict[int, list[tuple[int, float]]] = {}
+    for r in spark.createDataFrame([(f,) for f in lead], "feature string").select("feature", F.xxhash64("feature").alias("h")).collect():
+        held.setdefault(r["h"] % SLOTS, []).append((r["h"], lead[r["feature"]]))
+    rows = [held.get(k, []) for k in range(SLOTS)]
+    listed = lambda values, kind: F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+    own = listed([x[0][0] if len(x) == 1 else 0 for x in rows], "bigint")
+    gain = listed([x[0][1] if len(x) == 1 else 0 for x in rows], "double")
+    shared = listed([max(0, *(g for _, g in x)) if len(x) > 1 else 0 for x in rows], "double")  # several features in a slot: their highest, 0 at least
+    slot = lambda h: F.pmod(h, F.lit(SLOTS)).cast("int")
+    return lambda h: F.when(F.get(own, slot(h)) == h, F.get(gain, slot(h))).otherwise(F.get(shared, slot(h))), limit
+
+
+def _hashes(words: Column) -> Column:
+    pairs = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.xxhash64(F.concat_ws(" ", a, b)))
+    singles = F.transform(words, lambda w: F.xxhash64(w))
+    return F.when(F.size(words) > 1, F.concat(singles, F.slice(pairs, 1, F.size(words) - 1))).otherwise(singles)
+
+
+def _held(**columns: Column) -> Column:
+    """Columns worked out once, not again wherever they are used."""
+    return F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items()))))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def paragraphs(docs: DataFrame, model: tuple[list[tuple[str, list[float]]], list[float]]) -> DataFrame:
+    """doc_id, _key, first, last (numbers among the lines with words), paragraph: lines and joined lines, without what is bound to score "other"."""
+    lead, limit = margins(docs.sparkSession, model)
+    positive = lambda h: F.greatest(lead(h), F.lit(0.0))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").rlike(_WORD)).withColumn("_key", row_key())
+    lines = F.filter(F.transform(F.split("text", _LINES, -1), lambda p: F.trim(p)), lambda p: p.rlike(_WORD))
+    split = texts.select("doc_id", "_key", _held(lines=lines))
+    worded = split.select("doc_id", "_key", "lines", _held(words=F.transform("lines", lambda p: F.regexp_extract_all(F.lower(p), F.lit(_WORD), F.lit(0)))))
+    bridges = F.zip_with("words", F.slice("words", 2, F.size("words")), lambda a, b: F.when(b.isNull(), 0.0).otherwise(positive(F.xxhash64(F.concat_ws(" ", F.element_at(a, -1), F.get(b, F.lit(0)))))))
+    gained = worded.select("doc_id", "_key", "lines", _held(sizes=F.transform("words", lambda w: F.size(w).cast("double")), gains=F.transform("words", lambda w: _total(F.transform(_hashes(w), positive))), bridges=bridges))
+
+    def near(i: Column) -> Column:
+        ends = F.sequence(i, F.least(i + LONGEST, F.size("lines") - 1))
+        fits = lambda j: _total(F.slice("sizes", i + 2, F.greatest(j - i - 1, F.lit(0)))) <= LONGEST - 2
+        most = lambda j: _total(F.slice("gains", i + 1, j - i + 1)) + _total(F.slice("bridges", i + 1, j - i))
+        return F.transform(F.filter(ends, lambda j: fits(j) & (most(j) > limit)), lambda j: F.struct(i.alias("first"), j.alias("last"), F.array_join(F.slice("lines", i + 1, j - i + 1), " ").alias("paragraph")))
+
+    spans = gained.select("doc_id", "_key", F.inline(F.flatten(F.transform(F.sequence(F.lit(0), F.size("lines") - 1), near))))
+    words = F.regexp_extract_all(F.lower("paragraph"), F.lit(_WORD), F.lit(0))
+    return spans.filter(_total(F.transform(F.array_distinct(_hashes(words)), lead)) > limit)
 
 
 def classify(found: DataFrame, model: tuple[list[tuple[str, list[float]]], list[float]]) -> DataFrame:
@@ -141,23 +205,40 @@ def classify(found: DataFrame, model: tuple[list[tuple[str, list[float]]], list[
     return joined.select("paragraph", family.alias("family"), "probability", confirmed.alias("confirmed"))
 
 
+def _grants(line: str) -> bool:
+    """Whether a line holds a template or the form of a grant, so that it does not teach "other"."""
+    held = set(paragraph_features(line))
+    forms = [paragraph_features(t) for t in (*(t for ts in TEMPLATES.values() for t in ts), *UNKNOWN)]
+    return any(len(held.intersection(f)) >= CONFIRM * len(f) for f in forms)
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[tuple[str, list[float]]], list[float]]:
-    """The model, with at most ``sample`` paragraphs of the corpus (those that hash lowest among documents' first lines) as negatives."""
-    first = F.substring(F.element_at(F.split("text", r"[\r\n]+", -1), 1), 1, 300)
-    lines = docs.select(first.alias("line")).filter(~F.col("line").rlike(GATE) & (F.length("line") > 20)).orderBy(F.xxhash64("line"), "line").limit(sample)
-    return train([r["line"] for r in lines.collect()])
+    """The model, with at most ``sample`` distinct lines of the corpus (those that hash lowest, PIECE characters of each) as negatives."""
+    lines = docs.select(F.explode(F.split(F.col("text").cast("string"), _LINES, -1)).alias("line")).filter(F.length("line") > 20).select("line", F.xxhash64("line").alias("h"))
+    least = [r["h"] for r in lines.select("h").distinct().orderBy("h").limit(sample).collect()]
+    start = F.pmod("h", F.greatest(F.length("line") - PIECE, F.lit(0)) + 1).cast("int") + 1
+    chosen = lines.filter(F.col("h").isin(least)).select("h", F.substring("line", start, F.lit(PIECE)).alias("piece")).distinct()
+    return train([r["piece"] for r in sorted(chosen.collect()) if not _grants(r["piece"])])
 
 
 def licenses(docs: DataFrame) -> DataFrame:
     """doc_id, families (confirmed, sorted, comma-joined), n_confirmed, n_unknown (paragraphs of unsettled licence language), best (highest probability of a confirmed family) for every row."""
-    found = materialize(paragraphs(docs), "paragraphs")
-    judged = materialize(classify(found, fit(docs)), "classes")
-    unsettled = (F.col("family") != "other") & ~F.col("confirmed")
-    per = found.join(judged, "paragraph").groupBy("doc_id", "_key").agg(
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"), F.count_if("confirmed").alias("n_confirmed"),
-        F.count_if(unsettled).alias("n_unknown"), F.max(F.when(F.col("confirmed"), F.col("probability"))).alias("best"),
+    model = fit(docs)
+    found = materialize(paragraphs(docs, model), "paragraphs")
+    judged = materialize(classify(found, model).filter("family <> 'other'"), "classes")
+    span = F.struct("last", (-F.col("first")).alias("back"), "family", "confirmed", "probability")
+    per = found.join(judged, "paragraph").groupBy("doc_id", "_key").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    kind = "array<struct<last:int,back:int,family:string,confirmed:boolean,probability:double>>"
+    # In order of ends, a span is apart from those taken if none of them ends at its start or later.
+    apart = lambda spans, same: F.aggregate(spans, F.array().cast(kind), lambda acc, x: F.when(F.exists(acc, lambda y: (y["last"] >= -x["back"]) & same(x, y)), acc).otherwise(F.array_append(acc, x)))
+    settled = per.select("doc_id", "_key", "spans", _held(chosen=apart(F.filter("spans", lambda x: x["confirmed"]), lambda x, y: x["family"] == y["family"])))
+    joined_lines = lambda x: x["last"] > -x["back"]
+    explained = lambda x: F.exists("chosen", lambda y: (y["last"] >= -x["back"]) & (x["last"] >= -y["back"]) & (joined_lines(x) | joined_lines(y)))
+    unsettled = apart(F.filter("spans", lambda x: ~x["confirmed"] & ~explained(x)), lambda x, y: F.lit(True))
+    per = settled.select(
+        F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), F.array_join(F.array_sort(F.array_distinct("chosen.family")), ",").alias("families"), F.size("chosen").alias("n_confirmed"),
+        F.size(unsettled).alias("n_unknown"), F.array_max("chosen.probability").alias("best"),
     )
-    per = per.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "families", "n_confirmed", "n_unknown", "best")
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).select("doc_id", row_key().alias("_key"))
     joined = rows.join(per, rows["doc_id"].eqNullSafe(per["_d"]) & (rows["_key"] == per["_k"]), "left")
     return joined.select("doc_id", F.coalesce("families", F.lit("")).alias("families"), *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_confirmed", "n_unknown")), F.round("best", 6).alias("best"))
