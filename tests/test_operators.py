@@ -128,6 +128,23 @@ def test_signals(spark):
     assert sum(config.WEIGHTS.values()) == 100
 
 
+def test_title_points_of_a_large_catalog(spark):
+    from uploadwatch.functions.text import token_set_similarity
+
+    rng = random.Random(8)
+    words = [f"kata{i}" for i in range(60)] + ["liga", "cinta", "x"]
+    known = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 5))) for _ in range(260)] + ["derby paling akhir"]
+    titles = [*rng.sample(known, 20), *(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 6))) for _ in range(40)), "Derby paling akhir", "derbi palin akir", "", None, "!!", "liga liga liga"]
+    grade = lambda s: next((p for least, p in config.TITLE_GRADES if s >= least), 0)
+    wanted = {i: grade(max(token_set_similarity(t.lower().strip("!"), k) for k in known)) if t else 0 for i, t in enumerate(titles)}
+    assert wanted[60] == 25
+    d = detections(spark, [(i, f"https://x/{i}", t) for i, t in enumerate(titles)])
+    catalog = spark.createDataFrame([(k,) for k in known], "title string")
+    assert {r.seq: r.points for r in score.with_title_points(d, catalog).collect()} == wanted
+    done = score.scored(d, F.lit(0), catalog, "now")
+    assert {r.seq: r.breakdown.title_keyword_match for r in done.collect()} == wanted and "_title_points" not in done.columns
+
+
 EVIDENCE = "platform string, permanent_id string, display_name string, profile_url string, url string, detected_at string, seq bigint"
 
 

@@ -333,8 +333,7 @@ def _graded_sql(x: str, grades) -> str:
 
 @query()
 def title_match(spark, sf_dir):
-    catalog = [r["title"] for r in adapters.titles(spark, sf_dir).orderBy("seq").limit(200).collect()]  # a catalog is a short list
-    return adapters.documents(spark, sf_dir).select("seq", score.title_points(F.col("title"), F.col("query_used"), catalog).alias("points"))
+    return score.with_title_points(adapters.documents(spark, sf_dir), adapters.titles(spark, sf_dir)).select("seq", "points")
 
 
 @query("SELECT event_id, CASE event_type WHEN 'purchase' THEN 20 WHEN 'click' THEN 10 ELSE 0 END AS points FROM events")
@@ -516,8 +515,7 @@ def flagship(spark, sf_dir):
 def run_documents(spark, sf_dir):
     """The whole run over documents: score, verdict and cluster of each canonical detection."""
     listed_channels = spark.createDataFrame([(c,) for c in WHITELIST], "channel_id string")
-    catalog = [r["title"] for r in adapters.titles(spark, sf_dir).orderBy("seq").limit(20).collect()]  # a catalog is a short list
-    done = run.run(adapters.documents(spark, sf_dir), listed_channels, catalog, RUN_TS)
+    done = run.run(adapters.documents(spark, sf_dir), listed_channels, adapters.titles(spark, sf_dir), RUN_TS)
     return done.evidence.select("cluster_id", "seq", "cluster_size", "score", "verdict")
 
 
