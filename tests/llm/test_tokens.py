@@ -134,3 +134,14 @@ def test_pack(spark):
         sizes = [len(batches[k]) for k in sorted(k for k in batches if k[0] == b)]
         assert all(s == max(1, 2048 // b) for s in sizes[:-1])
     assert packing.pack(docs(spark, [])).count() == 0
+
+
+def test_packing_of_long_documents_by_brute_force(spark):
+    import itertools
+
+    rows = [(i, "a " * n) for i, n in enumerate([1, 700, 1025, 1027, 1100, 1303, 2049, 2055, 2900, 3001])]
+    got = packing.pack(docs(spark, rows), buckets=3).collect()
+    sizes = sorted(r.n_tokens for r in got)
+    assert sum(n > 1024 for n in sizes) > 5
+    least = min(sum(min(e for e in (*ends, sizes[-1]) if e >= n) - n for n in sizes) for ends in itertools.combinations(sizes[:-1], 2))
+    assert sum(r.padding for r in got) == least and max(r.bucket for r in got) == sizes[-1]

@@ -1,8 +1,7 @@
 """Packing (9): length buckets that waste the least padding, and batches within a token budget.
 
-The global histogram of token counts is exact up to 1024 tokens and rounds up by less than 1/256 above,
-so it has a few thousand entries at any corpus size.  Dynamic programming over it finds the boundaries
-with the least total padding; each document is padded to its bucket's boundary, and each bucket is cut,
+The global histogram of token counts is exact: an entry per distinct length.  Dynamic programming over it
+finds the boundaries with the least total padding, near-linear in its entries, as best starts ascend; each document is padded to its bucket's boundary, and each bucket is cut,
 in order of length, into batches of as many documents as the budget holds.
 
 Cases: null and empty texts have no tokens and pack into the first bucket as length 1; a document longer
@@ -13,7 +12,7 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from uploadwatch.llm.common import in_order
@@ -21,13 +20,6 @@ from uploadwatch.llm.tokens import TOKENIZER, token_counts
 from uploadwatch.scratch import materialize
 
 BUCKETS, BUDGET = 16, 65_536
-EXACT, STEPS = 1024, 256
-
-
-def rounded(length: Column) -> Column:
-    """The histogram's entry: the length, or above EXACT the next of STEPS values per doubling."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - 8).cast("bigint")
-    return F.when(length <= EXACT, F.greatest(length, F.lit(1))).otherwise(F.ceil(length / step) * step).cast("bigint")
 
 
 def boundaries(lengths: list[int], counts: list[int], buckets: int = BUCKETS) -> list[int]:
@@ -47,10 +39,17 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int = BUCKETS) ->
     for _ in range(1, buckets):
         cost, start = np.empty(n), np.zeros(n, np.int64)
         cost[0] = best[0]
-        for j in range(1, n):
-            options = np.minimum(best[:j] + padding(np.arange(1, j + 1), j), np.inf)
-            k = int(np.argmin(options))
-            cost[j], start[j] = (options[k], k + 1) if options[k] < best[j] else (best[j], chosen[-1][j])
+        left = [(1, n - 1, 0, n - 2)]  # entries, and the range of the places before their bucket's start
+        while left:
+            low, high, least, most = left.pop()
+            if low > high:
+                continue
+            j = (low + high) // 2
+            top = min(most, j - 1)
+            options = best[least : top + 1] + padding(np.arange(least + 1, top + 2), j)
+            k = least + int(np.argmin(options))
+            cost[j], start[j] = (options[k - least], k + 1) if options[k - least] < best[j] else (best[j], chosen[-1][j])
+            left += [(low, j - 1, least, k), (j + 1, high, k, most)]
         best = cost
         chosen.append(start)
     ends, j = [], n - 1
@@ -65,7 +64,7 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int = BUCKETS) ->
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id, n_tokens, bucket (its boundary), batch (number within the bucket), place (within the batch), padding."""
     spark = docs.sparkSession
-    lengths = materialize(token_counts(docs, tokenizer).withColumn("_entry", rounded(F.col("n_tokens"))), "lengths")
+    lengths = materialize(token_counts(docs, tokenizer).withColumn("_entry", F.greatest("n_tokens", F.lit(1)).cast("bigint")), "lengths")
     histogram = sorted((r["_entry"], r["n"]) for r in lengths.groupBy("_entry").agg(F.count("*").alias("n")).collect())
     ends = boundaries([x for x, _ in histogram], [n for _, n in histogram], buckets)
     if not ends:
