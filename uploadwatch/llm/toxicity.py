@@ -5,12 +5,12 @@ coordinates.  FTRL-proximal keeps a learning rate per coordinate and drives coor
 exactly zero (L1), so the weights that score the whole corpus are few and small to broadcast.
 
 The model is fitted on a bounded sample of labelled rows: at most TRAIN_TOXIC toxic and TRAIN_CLEAN clean
-ones, those whose id hashes lowest.  Rows with crc32(doc_id) mod 3 = 1 are held out and never learned from.
-Scores depend on the text alone.
+ones, those whose id hashes lowest.  One executor task fits it, and the driver gets the non-zero weights only.
+Rows with crc32(doc_id) mod 3 = 1 are held out and never learned from.  Scores depend on the text alone.
 
 Cases: null and empty texts have no features and get the score of the bias; a null doc_id is scored, not
-learned from, and not held out; rows that share a doc_id are scored each for itself; where labels repeat the
-highest counts; without labels of both kinds every score is 0; an empty table gives no rows; further columns
+learned from, and not held out; rows that share a doc_id are scored each for itself, and the one whose text
+hashes lowest is learned from; where labels repeat the highest counts; without labels of both kinds every score is 0; an empty table gives no rows; further columns
 are not read.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from uploadwatch.llm.common import text_bytes
+from uploadwatch.llm.common import row_key, text_bytes
 
 BITS = 20
 TRAIN_TOXIC, TRAIN_CLEAN = 6_000, 9_000
@@ -47,7 +47,7 @@ def features(text: bytes) -> np.ndarray:
 def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
     """Non-zero coordinates, their weights and the bias."""
     size = 1 << BITS
-    z, n = np.zeros(size + 1), np.zeros(size + 1)
+    z, n = np.zeros(size + 1), np.zeros(size + 1)  # the last coordinate is the bias
     rng = np.random.default_rng(seed)
 
     def weights(at: np.ndarray) -> np.ndarray:
@@ -55,10 +55,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed:
         found = -(own - np.sign(own) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
         return np.where(np.abs(own) <= L1, 0.0, found)
 
-    coordinates = [np.append(r, size) for r in rows]  # the last is the bias
     for _ in range(epochs):
         for k in rng.permutation(len(rows)):
-            at = coordinates[k]
+            at = np.append(rows[k], size)
             w = weights(at)
             gap = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - labels[k]
             step = gap * gap
@@ -80,17 +79,29 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     chosen = [known.filter(rule).orderBy(order, "doc_id").limit(most) for rule, most in (("toxic = 1", TRAIN_TOXIC), ("toxic <> 1", TRAIN_CLEAN))]
     sample = F.broadcast(chosen[0].unionByName(chosen[1]).select("doc_id", (F.col("toxic") == 1).cast("int").alias("label")))  # at most TRAIN_TOXIC + TRAIN_CLEAN rows
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())], names=["doc_id", "label", "features"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("text")).join(sample, "doc_id").dropDuplicates(["doc_id"])
-    got = sorted(rows.mapInArrow(run, "doc_id bigint, label int, features binary").collect())
-    marks = np.array([r["label"] for r in got], np.float64)
-    if not 0 < marks.sum() < len(marks):
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, marks = [], []
+        for batch in batches:
+            kept += [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column("features")]
+            marks += batch.column("label").to_pylist()
+        if 0 < sum(marks) < len(marks):
+            at, values, bias = fit(kept, np.array(marks, np.float64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(values, bias))], names=["at", "weight"])
+
+    # Of several texts of one id always the same is learned from.
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("text"), row_key().alias("_key")).join(sample, "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", "_key").alias("text"))
+    # The sample is bounded, so one executor task holds it; only the weights that L1 leaves reach the driver.
+    got = rows.mapInArrow(prepare, "doc_id bigint, label int, features binary").repartition(1).sortWithinPartitions("doc_id").mapInArrow(learn, "at int, weight double").collect()
+    held = sorted((r["at"], r["weight"]) for r in got)
+    if not held:
         return np.empty(0, np.int32), np.empty(0), -np.inf
-    return fit([np.frombuffer(r["features"], np.int32) for r in got], marks)
+    at, values = zip(*held)
+    return np.array(at[1:], np.int32), np.array(values[1:]), values[0]
 
 
 def _probability(sums: np.ndarray) -> np.ndarray:
