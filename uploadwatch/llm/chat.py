@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from uploadwatch.llm.codec import codec, tokenizer_path
+from uploadwatch.llm.common import bounded_batches
 from uploadwatch.llm.tokens import TOKENIZER
 
 BUDGET, HISTORY = 1024, 256
@@ -98,7 +99,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     """conv_id, window, text, mask (intervals of code points under the loss), n_tokens; a conversation's windows follow each other."""
     path = tokenizer_path(tokenizer)
     columns = ["conv_id", "turn", "role", "text"]
-    turns = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), "turn", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns[2:]))
+    turns = bounded_batches(conversations).select(F.col("conv_id").cast("bigint").alias("conv_id"), "turn", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns[2:]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, current, out = codec(path), None, []

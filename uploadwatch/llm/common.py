@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from uploadwatch.scratch import materialize
 
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20  # rows carry whole texts, so Spark's own 10,000 rows could fill a worker
+
+
 def text_bytes(column: str = "text") -> Column:
     """UTF-8 bytes of a text column; null counts as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
@@ -20,6 +23,19 @@ def row_key(column: str = "text") -> Column:
     return F.xxhash64(F.col(column), F.length(column))
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, once its session sends Python workers batches of BATCH_ROWS rows and BATCH_BYTES at most; smaller settings stay."""
+    conf = df.sparkSession.conf
+    for key, usual, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000, BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, BATCH_BYTES)):
+        try:
+            held = int(conf.get(key, str(usual)))
+        except ValueError:  # a size with its unit, set by the user
+            continue
+        if not 0 < held <= most:
+            conf.set(key, most)
+    return df
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """One Arrow record batch in, one out."""
 
@@ -28,7 +44,7 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
             if batch.num_rows:
                 yield function(batch)
 
-    return df.mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(run, schema)
 
 
 def in_order(df: DataFrame, order: list[Column], group: str | None, amount: str, label: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from uploadwatch.llm.codec import codec, decode_texts, tokenizer_path
-from uploadwatch.llm.common import in_order, map_batches, text_bytes
+from uploadwatch.llm.common import bounded_batches, in_order, map_batches, text_bytes
 from uploadwatch.llm.tokens import TOKENIZER
 from uploadwatch.scratch import scratch_path
 
@@ -145,7 +145,7 @@ def _root_of_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def write_store(docs: DataFrame, path: str, tokenizer: str = TOKENIZER) -> None:
     """Encode whole texts, append END_ID to each and write the store to a folder that all executors share."""
-    rows = docs.select(F.col("doc_id").cast("bigint"), text_bytes()).mapInArrow(
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("bigint"), text_bytes()).mapInArrow(
         _rows(tokenizer_path(tokenizer)), "kind int, address binary, doc_id bigint, n_tokens bigint, addresses binary, sizes array<int>, ids binary"
     )
     # A root can repeat (copies), so recipes are dealt by their id too.

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from uploadwatch.llm.common import row_key, text_bytes
+from uploadwatch.llm.common import bounded_batches, row_key, text_bytes
 
 BITS = 20
 TRAIN_TOXIC, TRAIN_CLEAN = 6_000, 9_000
@@ -94,7 +94,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
             yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(values, bias))], names=["at", "weight"])
 
     # Of several texts of one id always the same is learned from.
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("text"), row_key().alias("_key")).join(sample, "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", "_key").alias("text"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("text"), row_key().alias("_key")).join(sample, "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", "_key").alias("text"))
     # The sample is bounded, so one executor task holds it; only the weights that L1 leaves reach the driver.
     got = rows.mapInArrow(prepare, "doc_id bigint, label int, features binary").repartition(1).sortWithinPartitions("doc_id").mapInArrow(learn, "at int, weight double").collect()
     held = sorted((r["at"], r["weight"]) for r in got)
@@ -122,7 +122,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshol
             scores = _probability(sums)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id").cast("bigint")).alias("held_out"), text_bytes().alias("text"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id").cast("bigint")).alias("held_out"), text_bytes().alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
@@ -143,4 +143,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
             sums = np.array([dense[features(t or b"")].sum(dtype=np.float64) for t in batch.column(place).cast(pa.binary()).to_pylist()]) + bias
             yield batch.filter(pa.array(_probability(sums) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
