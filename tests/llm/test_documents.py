@@ -244,3 +244,36 @@ def test_wrapped_licenses(spark):
     got = {r.doc_id: (r.families, r.n_confirmed, r.n_unknown) for r in licenses.licenses(docs(spark, rows)).collect()}
     assert got.pop(2)[:2] == ("apache-2.0", 1)  # a word a line: what is left of it after the span that counts may be unsettled
     assert got == {1: ("gpl-3.0", 1, 0), 3: ("gpl-3.0,mit", 3, 0), 4: ("", 0, 0), 5: ("apache-2.0", 1, 1)}
+
+
+#: Notices as they stand in files, worded otherwise than the templates.
+NOTICES = {
+    "gpl-3.0": "This program is free software; you can redistribute it and/or modify it under the terms of version 3 of the GNU General Public License as published by the Free Software Foundation.",
+    "lgpl-2.1": "This file is part of the parser library. The library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, version 2.1.",
+    "bsd": "Redistribution and use in source and binary forms of this parser, with or without modification, are permitted provided that these conditions are met:",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Parser), to deal in the Parser without restriction, including the rights to use, copy and sell it.",
+    "apache-2.0": "This parser is licensed under the Apache License, Version 2.0 (the License); you may not use it except in compliance with the License.",
+    "isc": "Permission to use, copy, modify, and distribute this parser for any purpose with or without fee is hereby granted, provided that the copyright notice and this permission notice appear in all copies.",
+    "mpl-2.0": "This parser is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "cc-by-4.0": "The text is licensed under a Creative Commons Attribution 4.0 International License, as are its pictures.",
+    "cc-by-sa-4.0": "The text is available under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "reserved": "Copyright 2020 by the authors. All rights reserved.",
+}
+
+
+@pytest.mark.parametrize("before", ["", "# ", " * "])
+def test_notices_wrapped_and_joined(spark, before):
+    import textwrap
+
+    names = sorted(NOTICES)
+    rows = [(2 * i, "int x = 1\n\n" + NOTICES[n] + "\n\nint y") for i, n in enumerate(names)]
+    rows += [(2 * i + 1, "int x = 1\n" + before + "\n" + "\n".join(before + line for line in textwrap.wrap(NOTICES[n], 60)) + "\n" + before + "\nint y") for i, n in enumerate(names)]
+    got = {r.doc_id: r.families for r in licenses.licenses(docs(spark, rows)).collect()}
+    found = [(n, got[2 * i] == n, got[2 * i + 1] == n) for i, n in enumerate(names)]
+    assert sum(a for _, a, _ in found) >= 0.9 * len(names) and [a for _, a, _ in found] == [b for _, _, b in found], found
+
+
+def test_many_lines_without_licence_words(spark):
+    rows = [(1, "\n".join(f"x = {k}" for k in range(20_000)) + "\nReleased under the MIT License\n" + "\n" * 20_000), (2, "\n".join(["Released under the MIT License"] * 3000))]
+    got = {r.doc_id: (r.families, r.n_confirmed) for r in licenses.licenses(docs(spark, rows)).collect()}
+    assert got == {1: ("mit", 1), 2: ("mit", 3000)}

@@ -1,19 +1,20 @@
 """License scans (7): licence families of paragraphs, by a trained classifier that templates confirm.
 
-A paragraph is a line, or neighbouring lines joined, as far as a notice of a template's length can wrap over
-them.  It is classed by multinomial logistic regression over its distinct words and word pairs.
-The model is trained on the driver from the template list below: variants with words left out and with
-words around them teach the families; lines of the corpus (a bounded sample) and sentences that only
-mention licences teach "other", and grants under made-up names teach "unknown".  An L1 penalty keeps few weights.  Half of all variants are kept back: on
-them a temperature calibrates the probabilities, and "unknown" also takes a paragraph for which no class
-reaches THRESHOLD.  A family counts as confirmed if a template of it shares at least
-CONFIRM of its words and pairs with the paragraph.
-
-Scoring uses DataFrame functions only.  A bound from the model's own weights drops paragraphs that score
-"other" whatever else they hold, and only those.  The rest are classed once each, through a join of their
-features with the weights, and the result is joined back, so a line that stands in a third of all
-documents is classed once.  Of overlapping paragraphs with one result the one that ends first, then the
-shortest, counts.
+A paragraph is a line, or lines joined: a text is cut at blank lines, after lines that end a sentence and at
+COLD or more lines without licence words, and what is left between in several lines is one paragraph too, so a
+notice counts however it is wrapped.  Paragraphs are classed by multinomial logistic regression over their
+distinct words and word pairs.  The model is trained on the driver from the template list below: variants with
+words left out and with words around them teach the families; lines of the corpus (a bounded sample) and
+sentences that only mention licences teach "other", and grants under made-up names teach "unknown".  An L1
+penalty keeps few weights.  Half of all variants are kept back: on them a temperature calibrates the
+probabilities, and "unknown" also takes a paragraph for which no class reaches THRESHOLD.  A family counts as
+confirmed if a template of it shares at least CONFIRM of its words and pairs with the paragraph.
+
+Scoring uses DataFrame functions only.  A bound from the model's own weights drops texts, then paragraphs, that
+score "other" whatever else they hold, and only those (see Bound).  The rest are classed once each, through a
+join of their features with the weights, and the result is joined back, so a line that stands in a third of all
+documents is classed once.  Joined lines add their family only where no line of theirs is confirmed for it, and
+then settle what their lines leave unsettled.
 
 Cases: null and empty texts hold no licence; rows that share a doc_id are judged each by its text; a null
 doc_id stays; further columns are not read; an empty table gives no rows.
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Callable
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -32,19 +33,25 @@ from pyspark.sql import functions as F
 from uploadwatch.llm.common import row_key
 from uploadwatch.scratch import materialize
 
-#: Short notices by which texts name their licence.
+#: Notices by which texts name their licence.
 TEMPLATES = {
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the Apache License 2.0.", "SPDX-License-Identifier: Apache-2.0"],
-    "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, under the MIT License.", "SPDX-License-Identifier: MIT"],
-    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software under the terms of the GNU General Public License, either version 3 or any later version.", "SPDX-License-Identifier: GPL-3.0"],
-    "lgpl-2.1": ["Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD License.", "Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
+    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the Apache License 2.0.", "SPDX-License-Identifier: Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."],
+    "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, under the MIT License.", "SPDX-License-Identifier: MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."],
+    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software under the terms of the GNU General Public License, either version 3 or any later version.", "SPDX-License-Identifier: GPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "lgpl-2.1": ["Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD License.", "Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Released under the ISC License.", "SPDX-License-Identifier: ISC"],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "cc-by-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc0-1.0": ["Released into the public domain under CC0 1.0 Universal.", "SPDX-License-Identifier: CC0-1.0"],
-    "reserved": ["Copyright. All rights reserved.", "All rights reserved. No part of this work may be reproduced without permission."],
+    "reserved": ["All rights reserved.", "Copyright. All rights reserved.", "All rights reserved. No part of this work may be reproduced without permission."],
 }
 #: Sentences that speak of licences and grant none.
 OTHER = [
@@ -55,11 +62,15 @@ OTHER = [
 #: Grants that name no known family; # is a name.
 UNKNOWN = ["Licensed under the # License.", "Released under the # License.", "This work is licensed under the # License, version 2.", "Distributed under the terms of the # Public License.", "SPDX-License-Identifier: LicenseRef-#", "Use is subject to the # Licence Agreement."]
 CLASSES = ("other", "unknown", *TEMPLATES)
-THRESHOLD, CONFIRM, SAMPLE = 0.7, 0.6, 400
+THRESHOLD, CONFIRM, SAMPLE = 0.7, 0.6, 4_000
 PIECE = 600  # characters of a sampled line, from a place its hash chooses
-SLOTS = 1 << 15
+COMMON = 0.01  # a word in more of the lines that teach "other" is no feature, nor is a pair of such words
+COLD = 12  # lines without licence words that end joined lines
 _LINES = r"[\r\n]+"
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LETTER = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+_WORD = _LETTER + "+"
+#: A line's end after the end of a sentence, or a line without words.
+_BREAK = r"(?<=[.!?:;])[\x20\t]*[\r\n]+|(?>\r\n?|\n)[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[\r\n]"
 
 
 def paragraph_features(paragraph: str) -> list[str]:
@@ -90,18 +101,28 @@ def train(negatives: list[str], seed: int = 11, rounds: int = 300) -> tuple[list
     rng.shuffle(rows)
     half = len(rows) // 2
     sets = [paragraph_features(p) for p, _ in rows]
-    vocabulary = {f: k for k, f in enumerate(sorted({f for s in sets[:half] for f in s}))}
+    # Names and words of the corpus have no weights of their own, as they tell nothing about other texts, nor have common words.
+    rare = lambda f: any(common[w] <= COMMON * max(SAMPLE, len(negatives)) for w in f.split(" "))
+    common = Counter(w for p, c in rows if c == 0 for w in set(re.findall(_WORD, p.lower())))
+    known = [*(t for ts in TEMPLATES.values() for t in ts), *OTHER, *(part for form in UNKNOWN for part in form.split("#"))]
+    vocabulary = {f: k for k, f in enumerate(sorted({f for t in known for f in paragraph_features(t) if rare(f)}))}
     x = np.zeros((len(rows), len(vocabulary)), np.float32)
     for k, s in enumerate(sets):
         x[k, [vocabulary[f] for f in s if f in vocabulary]] = 1
     y = np.eye(len(CLASSES), dtype=np.float32)[[c for _, c in rows]]
     w, b = np.zeros((len(vocabulary), len(CLASSES)), np.float32), np.zeros(len(CLASSES), np.float32)
-    rate, penalty = 0.5, 2e-4
-    for _ in range(rounds):
-        gap = _softmax(x[:half] @ w + b) - y[:half]
-        w -= rate * (x[:half].T @ gap) / half
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * penalty, 0)
-        b -= rate * gap.mean(axis=0)
+    share = y[:half].sum(axis=0)
+    of_row = (y[:half] @ (1 / np.maximum(share, 1)) * np.where(y[:half, 0] > 0, 0.5, 0.5 / (len(CLASSES) - 1)))[:, None]  # "other" weighs as much as all else
+    rate, penalty = 4.0, 2e-5
+    before = w, b
+    for k in range(rounds):  # proximal gradient with momentum
+        pace = k / (k + 3)
+        at, at_b = w + pace * (w - before[0]), b + pace * (b - before[1])
+        before = w, b
+        gap = (_softmax(x[:half] @ at + at_b) - y[:half]) * of_row
+        w = at - rate * (x[:half].T @ gap)
+        w = (np.sign(w) * np.maximum(np.abs(w) - rate * penalty, 0)).astype(np.float32)
+        b = (at_b - rate * gap.sum(axis=0)).astype(np.float32)
     raw = x[half:] @ w + b
     loss = {t: -np.log(_softmax(raw / t)[y[half:] > 0] + 1e-12).mean() for t in np.linspace(0.1, 3, 59)}
     temperature = min(loss, key=loss.get)
@@ -119,66 +140,68 @@ def _features(paragraph: Column) -> Column:
     return F.array_distinct(F.concat(words, F.when(F.size(words) > 1, F.slice(pairs, 1, F.size(words) - 1)).otherwise(F.array().cast("array<string>"))))
 
 
-#: Words of the longest template: a notice that wraps from line i to line j holds all words of the lines between.
-LONGEST = max(len(re.findall(_WORD, t)) for ts in TEMPLATES.values() for t in ts)
+def _alternatives(words: list[str]) -> str:
+    """A pattern of exactly these words; common beginnings are shared, so few branches are tried at a place."""
+    by_first: dict[str, list[str]] = {}
+    for w in sorted(words):
+        by_first.setdefault(w[:1], []).append(w[1:])
+    parts = [re.escape(c) + (_alternatives(rest) if any(rest) else "") for c, rest in by_first.items() if c]
+    inner = parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+    return (f"(?:{inner})?" if "" in by_first else inner) if parts else ""
 
 
-def margins(spark, model: tuple[list[tuple[str, list[float]]], list[float]]) -> tuple[Callable[[Column], Column], float]:
-    """What a feature's hash adds, at most, to any class's lead over "other", and the sum of leads up to which "other" keeps THRESHOLD.
+class Bound:
+    """What a paragraph's distinct words can add, at most, to any class's lead over "other".
 
     With z the scores, "other" has probability 1 / (1 + sum exp(z[c] - z[0])).  No lead exceeds its bias and the
-    sum over features of max(w[c] - w[0]), so a sum up to the limit leaves "other" at THRESHOLD or above.
+    sum over features of max(w[c] - w[0]), so a sum up to a limit leaves "other" at THRESHOLD or above.  A word
+    answers for its own gain and for those of the pairs assigned to it, as a pair is there only if both its words
+    are.  Words with the least gains are left out as long as their sum is below a quarter of the limit, which is
+    taken off the limit.
     """
-    weights, bias = model
-    limit = float(np.log((1 / THRESHOLD - 1) / np.exp(np.array(bias[1:]) - bias[0]).sum())) - 1e-6
-    lead = {f: max(x - w[0] for x in w[1:]) for f, w in weights}
-    held: dict[int, list[tuple[int, float]]] = {}
-    for r in spark.createDataFrame([(f,) for f in lead], "feature string").select("feature", F.xxhash64("feature").alias("h")).collect():
-        held.setdefault(r["h"] % SLOTS, []).append((r["h"], lead[r["feature"]]))
-    rows = [held.get(k, []) for k in range(SLOTS)]
-    listed = lambda values, kind: F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
-    own = listed([x[0][0] if len(x) == 1 else 0 for x in rows], "bigint")
-    gain = listed([x[0][1] if len(x) == 1 else 0 for x in rows], "double")
-    shared = listed([max(0, *(g for _, g in x)) if len(x) > 1 else 0 for x in rows], "double")  # several features in a slot: their highest, 0 at least
-    slot = lambda h: F.pmod(h, F.lit(SLOTS)).cast("int")
-    return lambda h: F.when(F.get(own, slot(h)) == h, F.get(gain, slot(h))).otherwise(F.get(shared, slot(h))), limit
-
-
-def _hashes(words: Column) -> Column:
-    pairs = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.xxhash64(F.concat_ws(" ", a, b)))
-    singles = F.transform(words, lambda w: F.xxhash64(w))
-    return F.when(F.size(words) > 1, F.concat(singles, F.slice(pairs, 1, F.size(words) - 1))).otherwise(singles)
-
 
-def _held(**columns: Column) -> Column:
-    """Columns worked out once, not again wherever they are used."""
-    return F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items()))))
-
-
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+    def __init__(self, model: tuple[list[tuple[str, list[float]]], list[float]]):
+        weights, bias = model
+        limit = float(np.log((1 / THRESHOLD - 1) / np.exp(np.array(bias[1:]) - bias[0]).sum())) - 1e-6
+        features = {f for f, _ in weights}
+        lead = {f: max(x - w[0] for x in w[1:]) for f, w in weights}
+        self.gains = {f: x for f, x in lead.items() if x > 0 and " " not in f}
+        for pair, x in lead.items():
+            if x > 0 and " " in pair:  # common words have no weight, so the rarer one answers for both
+                word = max(pair.split(" "), key=lambda w: (w in features, lead.get(w, 0.0), len(w), w))
+                self.gains[word] = self.gains.get(word, 0.0) + x
+        spare = max(limit, 0.0) / 4
+        for word in sorted(self.gains, key=lambda w: (self.gains[w], w)):
+            if self.gains[word] > spare:
+                break
+            spare -= self.gains[word]
+            limit -= self.gains.pop(word)
+        self.limit = limit
+        self.pattern = rf"(?<!{_LETTER})" + (_alternatives(list(self.gains)) if self.gains else "(?!)") + rf"(?!{_LETTER})"
+
+    def exceeded(self, hits: Column) -> Column:
+        """Whether a paragraph with these words of the pattern may score something else than "other"."""
+        known = F.create_map(*(F.lit(x) for pair in self.gains.items() for x in pair)) if self.gains else F.create_map(F.lit(""), F.lit(0.0))
+        return F.aggregate(F.array_distinct(hits), F.lit(0.0), lambda acc, w: acc + F.coalesce(F.try_element_at(known, w), F.lit(0.0))) > F.lit(self.limit)
+
+    def hits(self, text: Column) -> Column:
+        return F.regexp_extract_all(F.lower(text), F.lit(self.pattern), F.lit(0))
 
 
 def paragraphs(docs: DataFrame, model: tuple[list[tuple[str, list[float]]], list[float]]) -> DataFrame:
-    """doc_id, _key, first, last (numbers among the lines with words), paragraph: lines and joined lines, without what is bound to score "other"."""
-    lead, limit = margins(docs.sparkSession, model)
-    positive = lambda h: F.greatest(lead(h), F.lit(0.0))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").rlike(_WORD)).withColumn("_key", row_key())
-    lines = F.filter(F.transform(F.split("text", _LINES, -1), lambda p: F.trim(p)), lambda p: p.rlike(_WORD))
-    split = texts.select("doc_id", "_key", _held(lines=lines))
-    worded = split.select("doc_id", "_key", "lines", _held(words=F.transform("lines", lambda p: F.regexp_extract_all(F.lower(p), F.lit(_WORD), F.lit(0)))))
-    bridges = F.zip_with("words", F.slice("words", 2, F.size("words")), lambda a, b: F.when(b.isNull(), 0.0).otherwise(positive(F.xxhash64(F.concat_ws(" ", F.element_at(a, -1), F.get(b, F.lit(0)))))))
-    gained = worded.select("doc_id", "_key", "lines", _held(sizes=F.transform("words", lambda w: F.size(w).cast("double")), gains=F.transform("words", lambda w: _total(F.transform(_hashes(w), positive))), bridges=bridges))
-
-    def near(i: Column) -> Column:
-        ends = F.sequence(i, F.least(i + LONGEST, F.size("lines") - 1))
-        fits = lambda j: _total(F.slice("sizes", i + 2, F.greatest(j - i - 1, F.lit(0)))) <= LONGEST - 2
-        most = lambda j: _total(F.slice("gains", i + 1, j - i + 1)) + _total(F.slice("bridges", i + 1, j - i))
-        return F.transform(F.filter(ends, lambda j: fits(j) & (most(j) > limit)), lambda j: F.struct(i.alias("first"), j.alias("last"), F.array_join(F.slice("lines", i + 1, j - i + 1), " ").alias("paragraph")))
-
-    spans = gained.select("doc_id", "_key", F.inline(F.flatten(F.transform(F.sequence(F.lit(0), F.size("lines") - 1), near))))
-    words = F.regexp_extract_all(F.lower("paragraph"), F.lit(_WORD), F.lit(0))
-    return spans.filter(_total(F.transform(F.array_distinct(_hashes(words)), lead)) > limit)
+    """doc_id, _key, block, run, joined, paragraph: lines (joined is false) and joined lines of a run, without what is bound to score "other"."""
+    bound = Bound(model)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull()).withColumn("_key", row_key())
+    texts = texts.filter(bound.exceeded(bound.hits(F.col("text"))))
+    cold = rf"(?i)(?:[\r\n]++(?![^\r\n]*{bound.pattern})[^\r\n]*+){{{COLD}}}"
+    several = lambda c: F.col(c).rlike(r"[\r\n]")
+    blocks = texts.select("doc_id", "_key", F.posexplode(F.split("text", _BREAK, -1)).alias("block", "_block"))
+    blocks = blocks.filter(bound.exceeded(bound.hits(F.col("_block"))))
+    runs = blocks.select("doc_id", "_key", "block", F.posexplode(F.when(several("_block"), F.split("_block", cold, -1)).otherwise(F.array("_block"))).alias("run", "_run"))
+    whole = F.when(several("_run"), F.array("_run")).otherwise(F.array().cast("array<string>"))
+    pieces = runs.select("doc_id", "_key", "block", "run", several("_run").alias("_several"), F.posexplode(F.concat(whole, F.split("_run", _LINES, -1))).alias("_n", "paragraph"))
+    pieces = pieces.filter(bound.exceeded(bound.hits(F.col("paragraph"))))
+    return pieces.select("doc_id", "_key", "block", "run", (F.col("_several") & (F.col("_n") == 0)).alias("joined"), F.trim("paragraph").alias("paragraph"))
 
 
 def classify(found: DataFrame, model: tuple[list[tuple[str, list[float]]], list[float]]) -> DataFrame:
@@ -226,19 +249,21 @@ def licenses(docs: DataFrame) -> DataFrame:
     model = fit(docs)
     found = materialize(paragraphs(docs, model), "paragraphs")
     judged = materialize(classify(found, model).filter("family <> 'other'"), "classes")
-    span = F.struct("last", (-F.col("first")).alias("back"), "family", "confirmed", "probability")
-    per = found.join(judged, "paragraph").groupBy("doc_id", "_key").agg(F.sort_array(F.collect_list(span)).alias("spans"))
-    kind = "array<struct<last:int,back:int,family:string,confirmed:boolean,probability:double>>"
-    # In order of ends, a span is apart from those taken if none of them ends at its start or later.
-    apart = lambda spans, same: F.aggregate(spans, F.array().cast(kind), lambda acc, x: F.when(F.exists(acc, lambda y: (y["last"] >= -x["back"]) & same(x, y)), acc).otherwise(F.array_append(acc, x)))
-    settled = per.select("doc_id", "_key", "spans", _held(chosen=apart(F.filter("spans", lambda x: x["confirmed"]), lambda x, y: x["family"] == y["family"])))
-    joined_lines = lambda x: x["last"] > -x["back"]
-    explained = lambda x: F.exists("chosen", lambda y: (y["last"] >= -x["back"]) & (x["last"] >= -y["back"]) & (joined_lines(x) | joined_lines(y)))
-    unsettled = apart(F.filter("spans", lambda x: ~x["confirmed"] & ~explained(x)), lambda x, y: F.lit(True))
-    per = settled.select(
-        F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), F.array_join(F.array_sort(F.array_distinct("chosen.family")), ",").alias("families"), F.size("chosen").alias("n_confirmed"),
-        F.size(unsettled).alias("n_unknown"), F.array_max("chosen.probability").alias("best"),
-    )
+    place = ["doc_id", "_key", "block", "run"]
+    near = found.join(judged, "paragraph").groupBy(*place).agg(
+        F.collect_list(F.when(~F.col("joined") & F.col("confirmed"), F.col("family"))).alias("lines"),
+        F.count_if(~F.col("joined") & ~F.col("confirmed")).alias("open"),
+        F.max(F.when(F.col("joined") & F.col("confirmed"), F.col("family"))).alias("whole"),
+        F.max(F.col("joined") & ~F.col("confirmed")).alias("whole_open"),
+        F.max(F.when(F.col("confirmed") & ~F.col("joined"), F.col("probability"))).alias("best_line"),
+        F.max(F.when(F.col("confirmed") & F.col("joined"), F.col("probability"))).alias("best_whole"),
+    )
+    adds = F.coalesce(~F.array_contains("lines", F.col("whole")), F.lit(False))
+    unsettled = F.when(adds, 0).when(F.col("open") > 0, F.col("open")).otherwise(F.when(F.col("whole_open") & (F.size("lines") == 0), 1).otherwise(0))
+    near = near.select(*place, F.when(adds, F.array_append("lines", F.col("whole"))).otherwise(F.col("lines")).alias("families"), unsettled.alias("open"), F.when(adds, F.greatest("best_line", "best_whole")).otherwise(F.col("best_line")).alias("best"))
+    per = near.groupBy(F.col("doc_id").alias("_d"), F.col("_key").alias("_k")).agg(
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("families")))), ",").alias("families"), F.sum(F.size("families")).alias("n_confirmed"), F.sum("open").alias("n_unknown"), F.max("best").alias("best")
+    )
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).select("doc_id", row_key().alias("_key"))
     joined = rows.join(per, rows["doc_id"].eqNullSafe(per["_d"]) & (rows["_key"] == per["_k"]), "left")
     return joined.select("doc_id", F.coalesce("families", F.lit("")).alias("families"), *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_confirmed", "n_unknown")), F.round("best", 6).alias("best"))
