@@ -99,6 +99,43 @@ def test_damage_is_found(spark):
         store.read_documents(spark, path).collect()
 
 
+@pytest.mark.parametrize("lost", ["chunk", "recipe", "manifest", "number"])
+def test_losses_are_found(spark, lost):
+    import shutil
+
+    path = scratch_path(spark, "store-lost")
+    store.write_store(docs(spark, [(1, "some text"), (2, "more"), (3, None)]), path)
+    assert store.read_documents(spark, path).count() == 3
+    folder, keep = {"chunk": ("pool/kind=0", "ids <> unhex('0000')"), "recipe": ("recipes", "doc_id <> 2"), "manifest": ("manifest", "false"), "number": ("recipes", "true")}[lost]
+    kept = spark.read.parquet(f"{path}/{folder}").filter(keep)
+    kept.selectExpr(*(f"{c} + 1 as {c}" if lost == "number" and c == "doc_id" else c for c in kept.columns)).write.parquet(f"{path}/kept")
+    shutil.rmtree(f"{path}/{folder}".removeprefix("file://"))
+    shutil.move(f"{path}/kept".removeprefix("file://"), f"{path}/{folder}".removeprefix("file://"))
+    with pytest.raises(Exception, match="chunk is missing" if lost == "chunk" else "do not match the manifest"):
+        store.read_documents(spark, path).collect()
+
+
+def test_manifest_is_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(store, "PART", 4)
+    monkeypatch.setattr(store, "FAN", 3)
+    path = scratch_path(spark, "store-tree")
+    store.write_store(docs(spark, [(k, "word " * (k % 7)) for k in range(60)]), path)
+    nodes = spark.read.parquet(f"{path}/manifest").collect()
+    top = max(n.level for n in nodes)
+    assert top > 2 and [n.documents for n in nodes if n.level == top] == [60] and sum(n.documents for n in nodes if n.level == 0) == 60
+    spark.read.parquet(f"{path}/recipes").repartition(5).write.parquet(f"{path}/again")
+    assert {tuple(r) for r in store.merkle(spark.read.parquet(f"{path}/again")).collect()} == {tuple(n) for n in nodes}  # however files are split
+    assert store.read_documents(spark, path).count() == 60
+
+
+def test_moved_checksums():
+    rng = np.random.default_rng(4)
+    for after in (0, 1, 2, 255, 256, 70_000):
+        data = rng.integers(0, 256, 40, np.uint8).tobytes()
+        tail = rng.integers(0, 256, 4 * after, np.uint8).tobytes()
+        assert zlib.crc32(data + tail) == int(store._shifted(np.array([zlib.crc32(data)]), np.array([after]))[0]) ^ zlib.crc32(tail)
+
+
 def test_empty_store(spark):
     assert store.store_and_read(docs(spark, [])).count() == 0
 
