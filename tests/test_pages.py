@@ -7,12 +7,13 @@ from uploadwatch.operators import identity
 from uploadwatch.sources import crawl
 
 CARD = '<div><a href="{link}" {attributes}>x</a>{rest}</div>'
-PAGE = (
-    CARD.format(link="/watch?v=111222333", attributes='aria-label="Liga Champions Vidio 2025"', rest='<a href="/profile.php?id=987654321">c</a><span>2K views</span>')
-    + " " * 1100 + CARD.format(link="/reel/444555666/", attributes="", rest="<b>Stream Sinetron Bajakan Full</b><a href=\"/pages/Media/Some/123456789\">p</a> 5,5 rb Tayangan")
-    + " " * 1100 + CARD.format(link="/groups/111222333/videos/999888777", attributes='title="Liga Live Group Stream"', rest='<a href="/groups/111222333/">g</a> 100 views')
-)
-DATA = '<a href="/reel/7777777/?x"> </a>' + "-" * 1200 + r'{"open":"\/reel\/7777777","title":"Café Sinetron","id":"55555","name":"Owner"}'
+GAP = "." * 1300
+PAGE = GAP.join([
+    CARD.format(link="/groups/60170/videos/8812340001", attributes='title="Harbour Night, part two"', rest='<a href="/groups/60170/">members</a> 41 views'),
+    CARD.format(link="/reel/7003004005/", attributes="", rest='<b>Mountain Race Replay</b><a href="/pages/Club/Alpine/50206070">club</a> 7,2 rb Tayangan'),
+    CARD.format(link="/watch?v=31415926535", attributes='aria-label="Cooking with Rice, whole show"', rest='<a href="/profile.php?id=27182818">owner</a><span>13K views</span>'),
+])
+DATA = '<a href="/reel/4040404/?y"> </a>' + "-" * 1200 + r'{"open":"\/reel\/4040404","title":"Caf\u00e9 Race","id":"60606","name":"Club"}'
 
 
 def found(spark, html):
@@ -23,9 +24,9 @@ def found(spark, html):
 def test_result_page(spark):
     site = "https://www.facebook.com"
     assert found(spark, PAGE) == [
-        (f"{site}/watch?v=111222333", "Liga Champions Vidio 2025", "987654321", "", 2000, 300000),
-        (f"{site}/reel/444555666", "Stream Sinetron Bajakan Full", "123456789", "", 5500, 300001),
-        (f"{site}/groups/111222333/videos/999888777", "Liga Live Group Stream", "111222333", "", 100, 300002),
+        (f"{site}/groups/60170/videos/8812340001", "Harbour Night, part two", "60170", "", 41, 300000),
+        (f"{site}/reel/7003004005", "Mountain Race Replay", "50206070", "", 7200, 300001),
+        (f"{site}/watch?v=31415926535", "Cooking with Rice, whole show", "27182818", "", 13000, 300002),
     ]
 
 
@@ -34,8 +35,13 @@ def test_empty_pages(spark):
 
 
 def test_embedded_data(spark):
-    r = spark.createDataFrame([(DATA,)], "h string").select(pages.data_title(F.col("h"), F.lit("7777777")), pages.data_channel(F.col("h"), F.lit("7777777")), pages.data_title(F.col("h"), F.lit("8"))).first()
-    assert r[0] == "Café Sinetron" and tuple(r[1]) == ("55555", "Owner") and r[2] == ""
+    r = spark.createDataFrame([(DATA,)], "h string").select(pages.data_title(F.col("h"), F.lit("4040404")), pages.data_channel(F.col("h"), F.lit("4040404")), pages.data_title(F.col("h"), F.lit("8"))).first()
+    assert r[0] == "Café Race" and tuple(r[1]) == ("60606", "Club") and r[2] == ""
+
+
+def test_unclosed_tags():
+    card = '<div class="bstar-video-card"><a href="/video/2012345678901"><img alt="Film"></a></div>'
+    assert [c["title"] for c in crawl.read_cards("<p>" * 20_000 + card)] == ["Film"]
 
 
 def test_offsets_are_code_points(spark):
@@ -44,10 +50,10 @@ def test_offsets_are_code_points(spark):
 
 
 def test_views(spark):
-    cases = {"1.2M views": 1_200_000, "500 views": 500, "1,234 views": 1234, "6,8 rb Tayangan": 6800, "199 Tayangan": 199, '"play_count":{"count":77}': 77, '"view_count": 12': 12, "none": None}
+    cases = {"3.4M views": 3_400_000, "61 views": 61, "7,654 views": 7654, "2,3 rb Tayangan": 2300, "88 Tayangan": 88, '"play_count":{"count":31}': 31, '"view_count": 46': 46, "none": None}
     rows = spark.createDataFrame([(k, i) for i, k in enumerate(cases)], "h string, i int").select(pages.views_near(F.col("h"), F.lit(0)), "i").orderBy("i").collect()
     assert [r[0] for r in rows] == list(cases.values())
-    cards = {"12.5K Putar": 12500, "1,2 rb": 1200, "3 jt": 3_000_000, "1.234.567": None, "": None}
+    cards = {"8.5K Putar": 8500, "4,7 rb": 4700, "6 jt": 6_000_000, "9.876.543": None, "": None}
     rows = spark.createDataFrame([(k, i) for i, k in enumerate(cards)], "h string, i int").select(pages.card_views(F.col("h")), "i").orderBy("i").collect()
     assert [r[0] for r in rows] == list(cards.values())
 

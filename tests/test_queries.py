@@ -1,6 +1,7 @@
 """Every catalog query against its SQL on the smallest tables; the others must run."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from uploadwatch.plans import catalog
@@ -10,7 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(frame):
     frame = frame[sorted(frame.columns)].astype(object)
-    return sorted(tuple("" if v is None or v != v else f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in frame.itertuples(index=False))
+    return sorted(tuple("" if pd.isna(v) else f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in frame.itertuples(index=False))
 
 
 @pytest.fixture(scope="module")

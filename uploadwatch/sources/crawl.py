@@ -61,12 +61,22 @@ class _Node:
         self.tag, self.attributes, self.parent, self.children, self.said = tag, attributes, parent, [], []
 
     def walk(self) -> Iterator[_Node]:
-        for child in self.children:
-            yield child
-            yield from child.walk()
+        """All nodes below, in order of the text; by a stack, as unclosed tags nest without end."""
+        todo = self.children[::-1]
+        while todo:
+            node = todo.pop()
+            yield node
+            todo += node.children[::-1]
 
     def text(self) -> str:
-        return "".join(x if isinstance(x, str) else x.text() for x in self.said)
+        parts, todo = [], self.said[::-1]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                parts.append(x)
+            else:
+                todo += x.said[::-1]
+        return "".join(parts)
 
     def classed(self, *parts: str) -> bool:
         return any(p in self.attributes.get("class", "") for p in parts)
