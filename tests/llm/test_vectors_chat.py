@@ -36,6 +36,26 @@ def test_top_k_by_brute_force(spark, shard, block):
     assert sorted(tuple(r) for r in got) == [(q, n, j, clip(s)) for q, n, j, s in brute(rows, 20)]
 
 
+def test_top_k_of_large_doubles(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 1) * s for _ in range(3)]) for i in range(0, 60) for s in [rng.choice([1.0, 1e9, 1e160, 1e306])]] + [(60, [1.7e308, -1.7e308, 1e307]), (80, [3e307] * 3)]
+    exact = lambda x: math.floor(64 * x) if abs(x) < 1e300 else 64 * int(x)
+    clip = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+    wanted = {i: sorted((-sum(exact(a) * exact(b) for a, b in zip(v, w)), j) for j, w in rows if j != i) for i, v in rows if i % 20 == 0}
+    for shard in (8192, 9):
+        got = topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 20 == 0, 100, shard).collect()
+        for i, found in wanted.items():
+            assert sorted((clip(-s), j) for s, j in found) == sorted((r.score, r.vec_id) for r in got if r.query_id == i)
+
+
+@pytest.mark.parametrize("shard", [4096, 50])
+def test_top_k_of_many_copies(spark, shard):
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)] if i % 3 else [0.5] * 6) for i in range(700)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 20 == 0, 20, shard).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, 20)
+
+
 def test_top_k_of_nothing(spark):
     assert topk.top_k(spark.createDataFrame([], VECTORS), F.col("vec_id") % 20 == 0).count() == 0
 
@@ -74,6 +94,8 @@ def test_conversations(spark):
         if w.conv_id is not None and turns[w.conv_id][0][0] == "system":
             assert parts[0][:2] == turns[w.conv_id][0]
     assert chat.read_back(chat.windows(frame.limit(0))).count() == 0
+    again = chat.read_back(chat.windows(frame).repartition(7, "text")).collect()  # windows may be dealt anew
+    assert sorted(map(str, again)) == sorted(map(str, got.values()))
 
 
 @pytest.mark.parametrize("name", list(queries.queries()))
