@@ -8,7 +8,7 @@ around one member, so their number is linear in the bucket; every candidate is c
 
 Stars alone could lose a link between two members of which the centre is linked with one at most.  So a
 star keeps how its members differ from the centre, and links between members of different components are
-found from those differences alone, exactly and without pairing all members (see crossing_links).
+found from those differences alone, exactly and without pairing all members (see crossing_components).
 
 Cases: a null or empty text, or one without words, has an empty set and is linked with nothing; rows that
 share an id are one document, linked if any of their texts is; a row with a null id takes no part and is
@@ -21,7 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from uploadwatch.llm.common import map_batches, row_key, text_bytes
@@ -161,10 +161,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         own = named.join(sets.select("set_key", "u"), "set_key").select("doc_id", "u").distinct()
         least = own.groupBy("doc_id").agg(F.min("u").alias("low"), F.max("u").alias("high")).filter("low < high")
         links = links.unionByName(own.join(least, "doc_id").filter("u > low").select(F.col("low").alias("a"), F.col("u").alias("b")))
-    known = components(links)
-    found = crossing_links(stars, known, percent)
-    if not found.isEmpty():
-        known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
+    known = crossing_components(stars, components(links), percent)
 
     of_set = sets.select("set_key", "u").join(known.withColumnRenamed("node", "u"), "u", "left").select("set_key", F.coalesce("component", "u").alias("component"))
     whole = marked.join(of_set, "set_key", "left")
@@ -172,8 +169,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     return whole.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def crossing_links(stars: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members of one star that are in different components so far.
+FEW = 512  # members of one star that share a leading difference: so many are paired, more become a star of their own
+
+
+def crossing_components(stars: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """node, component as in known, with the links between members of one star that were in different components.
 
     Members that share a bucket share its centre r, and their sets follow from their differences D from r.
     Members m and x are linked if |Dm| + |Dx| - 2 |Dm & Dx| <= T = (100 - p) / (100 + p) * (nm + nx), so they
@@ -182,37 +182,80 @@ def crossing_links(stars: DataFrame, known: DataFrame, percent: int) -> DataFram
     one order, rarest first, both leading parts must meet, and early enough for the rest to suffice (prefix
     and positional filter).  Replaced words make differences that no other copy has, and these come first,
     so copies of one text that are too far apart hardly ever meet.
+
+    Where a few members meet in a difference they are paired.  Where many do, one of them becomes the centre of
+    a star of the others: each is compared with it, components grow by what is found, and the rest is settled
+    in the new star by the same rules, where the differences that all of them shared are gone.  So rows stay in
+    proportion to members, and no link is lost.
     """
+    members = stars.select("a", "mark", "b", "n", F.concat("novel", "missing").alias("differences")).withColumn("h", F.xxhash64("differences"))  # h tells several texts of one document apart
+    while True:
+        ordered = open_members(members, known, percent)
+        leading = ordered.select("a", "mark", "b", "h", "n", "c", "c_a", "k", "own", F.posexplode(F.slice("order", 1, F.col("reach"))).alias("pos", "x")).filter("x.f > 1").withColumn("e", F.col("x.e"))
+        met = leading.groupBy("a", "mark", "e").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high"), F.min_by("b", F.xxhash64("b", "h")).alias("head"), F.min_by("h", F.xxhash64("b", "h")).alias("head_h"))
+        met = materialize(met.filter("low < high").select("a", "mark", "e", "size", "head", "head_h"), "met")
+        links = paired(leading, met.filter(F.col("size") <= FEW), ordered, percent)
+        many = met.filter(F.col("size") > FEW)
+        grown = not many.isEmpty()
+        if grown:
+            members = materialize(new_stars(leading.join(many, ["a", "mark", "e"]), ordered), "members")
+            links = links.unionByName(members.filter(_linked(F.col("n"), F.col("n_a"), F.size("differences"), percent)).select("a", "b").distinct())
+        links = materialize(links, "links")
+        if not links.isEmpty():
+            known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+        if not grown:
+            return known
+
+
+def _linked(n: Column, m: Column, differ: Column, percent: int) -> Column:
+    """Twice the intersection and twice the union, of sets of n and m elements that differ in so many."""
+    return 100 * (n + m - differ) >= percent * (n + m + differ)
+
+
+def open_members(members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Members of stars in which not all are of the centre's component, with their differences in order (rarest first) and how many of them lead: reach, and own for those not linked with the centre."""
     t = (100 - percent) / (100 + percent)
     label = known.select(F.col("node").alias("b"), F.col("component").alias("c"))
     centre = known.select(F.col("node").alias("a"), F.col("component").alias("c_a"))
-    joined = stars.join(label, "b", "left").join(centre, "a", "left").withColumns({"c": F.coalesce("c", "b"), "c_a": F.coalesce("c_a", "a"), "differences": F.concat("novel", "missing")})
+    joined = members.join(label, "b", "left").join(centre, "a", "left").withColumns({"c": F.coalesce("c", "b"), "c_a": F.coalesce("c_a", "a")})
     open_ = joined.filter("c <> c_a").select("a", "mark").distinct()
-    members = materialize(joined.join(open_, ["a", "mark"], "left_semi").select("a", "mark", "b", "n", "c", "c_a", "differences", F.size("differences").alias("k"), F.xxhash64("differences").alias("h")), "members")
-    # h tells several texts of one document apart.
-    elements = members.select("a", "mark", "b", "h", "n", "c", "c_a", "k", F.explode("differences").alias("e"))
+    left = materialize(joined.join(open_, ["a", "mark"], "left_semi").select("a", "mark", "b", "h", "n", "c", "c_a", "differences", F.size("differences").alias("k")), "open")
+    elements = left.select("a", "mark", "b", "h", F.explode("differences").alias("e"))
     counts = elements.groupBy("a", "mark", "e").agg(F.count("*").alias("f"))
-    ordered = elements.join(counts, ["a", "mark", "e"]).groupBy("a", "mark", "b", "h", "n", "c", "c_a", "k").agg(F.sort_array(F.collect_set(F.struct("f", "e"))).alias("order"))
+    orders = elements.join(counts, ["a", "mark", "e"]).groupBy("a", "mark", "b", "h").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("order"))
     apart = F.ceil(F.col("k") - t * (1 + 100 / percent) * F.col("n") - 1e-6)
     own = F.greatest(F.lit(1), apart)
     as_partner = F.greatest(F.lit(1), apart, F.floor((1 - t) / 2 * F.col("k")) + 1)
-    leading = lambda least: F.posexplode(F.slice("order", 1, (F.col("k") - least + 1).cast("int"))).alias("pos", "x")
-    ordered = materialize(ordered, "ordered")
-    probes = ordered.filter("c <> c_a").select("a", "mark", "b", "n", "c", "k", leading(own)).filter("x.f > 1").withColumn("e", F.col("x.e"))
-    partners = ordered.select("a", "mark", "b", "n", "c", "c_a", "k", leading(as_partner)).filter("x.f > 1").withColumn("e", F.col("x.e"))
-    renamed = partners.select("a", "mark", "e", *(F.col(c).alias(f"{c}_2") for c in ("b", "n", "c", "c_a", "k", "pos")))
+    to = lambda least: (F.col("k") - least + 1).cast("int")
+    found = left.join(orders, ["a", "mark", "b", "h"]).select("a", "mark", "b", "h", "n", "c", "c_a", "k", "differences", "order", F.when(F.col("c") != F.col("c_a"), to(own)).otherwise(0).alias("own"), F.greatest(to(as_partner), F.when(F.col("c") != F.col("c_a"), to(own)).otherwise(0), F.lit(0)).alias("reach"))
+    return materialize(found, "ordered")
+
+
+def paired(leading: DataFrame, few: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of different components that share one of few, leading differences."""
+    t = (100 - percent) / (100 + percent)
+    probes = leading.filter(F.col("pos") < F.col("own")).join(few, ["a", "mark", "e"], "left_semi").select("a", "mark", "e", "b", "h", "n", "c", "k", "pos")
+    partners = leading.select("a", "mark", "e", *(F.col(c).alias(f"{c}_2") for c in ("b", "h", "n", "c", "k", "pos")))
     needed = (F.col("k") + F.col("k_2") - t * (F.col("n") + F.col("n_2"))) / 2 - 1e-6
     reachable = F.least(F.col("k") - F.col("pos"), F.col("k_2") - F.col("pos_2"))
-    # Two probes meet from either side.
     fits = (F.col("c") != F.col("c_2")) & (100 * F.least("n", "n_2") >= percent * F.greatest("n", "n_2")) & (reachable >= needed)
-    pairs = probes.join(renamed, ["a", "mark", "e"]).filter(fits).select("a", "mark", F.least("b", "b_2").alias("b"), F.greatest("b", "b_2").alias("b_2")).distinct()
-    one = members.select("a", "mark", "b", "n", "differences")
-    other = one.select("a", "mark", *(F.col(c).alias(f"{c}_2") for c in ("b", "n", "differences")))
-    both = pairs.join(one, ["a", "mark", "b"]).join(other, ["a", "mark", "b_2"])
+    pairs = probes.join(partners, ["a", "mark", "e"]).filter(fits).select("a", "mark", "b", "h", "b_2", "h_2").distinct()
+    one = ordered.select("a", "mark", "b", "h", "n", "differences")
+    other = one.select("a", "mark", *(F.col(c).alias(f"{c}_2") for c in ("b", "h", "n", "differences")))
+    both = pairs.join(one, ["a", "mark", "b", "h"]).join(other, ["a", "mark", "b_2", "h_2"])
     differ = F.size("differences") + F.size("differences_2") - 2 * F.size(F.array_intersect("differences", "differences_2"))
-    # Twice the intersection and twice the union.
-    linked = both.filter(100 * (F.col("n") + F.col("n_2") - differ) >= percent * (F.col("n") + F.col("n_2") + differ))
-    return materialize(linked.select(F.col("b").alias("a"), F.col("b_2").alias("b")).distinct(), "links")
+    return both.filter(_linked(F.col("n"), F.col("n_2"), differ, percent)).select(F.least("b", "b_2").alias("a"), F.greatest("b", "b_2").alias("b")).distinct()
+
+
+def new_stars(leading: DataFrame, ordered: DataFrame) -> DataFrame:
+    """Stars whose centres are the heads of differences in which many members meet; a head of several differences has one star."""
+    rows = leading.filter((F.col("b") != F.col("head")) | (F.col("h") != F.col("head_h"))).select("a", "mark", "b", "h", "head", "head_h").distinct()
+    one = ordered.select("a", "mark", "b", "h", "n", "differences")
+    heads = ordered.select("a", "mark", F.col("b").alias("head"), F.col("h").alias("head_h"), F.col("n").alias("n_a"), F.col("differences").alias("from"))
+    both = rows.join(one, ["a", "mark", "b", "h"]).join(heads, ["a", "mark", "head", "head_h"])
+    differ = F.concat(F.array_except("differences", "from"), F.array_except("from", "differences"))
+    found = both.select(F.col("head").alias("a"), F.xxhash64("a", "mark", "head", "head_h").alias("mark"), "b", "n", "n_a", differ.alias("differences"))
+    return found.withColumn("h", F.xxhash64("differences"))
 
 
 def without_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
