@@ -65,7 +65,7 @@ def test_fuzzy_pairs_by_brute_force(spark):
     for i, _, t, c in rows:
         first.setdefault((c, t), i)
     wanted = {(max(i, j), min(i, j)) for (c, t), i in first.items() for (k, u), j in first.items() if i < j and c == k and token_set_similarity(t, u) >= config.FUZZY_THRESHOLD}
-    assert {(r.a, r.b) for r in cluster.fuzzy_edges(detections(spark, rows), salts=3).collect()} == wanted
+    assert {(r.a, r.b) for r in cluster.fuzzy_edges(detections(spark, rows), block=3).collect()} == wanted
 
 
 def test_fuzzy_pairs_with_repeated_words(spark):
@@ -260,3 +260,61 @@ def test_stream(spark, tmp_path):
     q = watch.keep_tables(watch.page_stream(spark, str(tmp_path / "pages")), held["d"], held["r"], ["Liga Champions"], spark.createDataFrame([], "channel_id string"), "now", str(tmp_path / "check"))
     q.awaitTermination()
     assert [(r.content_title, r.verdict) for r in held["d"].read().collect()] == [("Liga Champions", "possible")]
+    again = [(r.content_title, r.violation_count) for r in held["d"].read().collect()]
+    number = held["d"]._versions()[-1][2]
+    assert number >= 0 and held["d"].holds(held["d"]._versions()[-1][1], number) and held["r"].holds(held["r"]._versions()[-1][1], number)
+    q = watch.keep_tables(watch.page_stream(spark, str(tmp_path / "pages")), held["d"], held["r"], ["Liga Champions"], spark.createDataFrame([], "channel_id string"), "now", str(tmp_path / "check"))
+    q.awaitTermination()
+    assert [(r.content_title, r.violation_count) for r in held["d"].read().collect()] == again
+
+
+def test_late_pages_of_a_stream(spark, tmp_path):
+    from uploadwatch.streaming import watch
+
+    for day, number in ((20, 1), (1, 2), (20, 1)):  # the second comes nineteen days late
+        page = f'<a href="/reel/123456{number}/" title="Title {number} here">x</a>'
+        spark.createDataFrame([("q", page, number)], "query string, html string, seq bigint").selectExpr("*", f"timestamp '2026-01-{day:02d}' as crawled_at").coalesce(1).write.mode("append").parquet(str(tmp_path / "pages"))
+        q = watch.first_detections(watch.page_stream(spark, str(tmp_path / "pages")), "now").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert [r.url[-1] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["1"]
+
+
+def test_failing_platform(spark, monkeypatch, recwarn):
+    from uploadwatch.sources import crawl
+
+    def broken(pages, run_ts, max_results=None):
+        raise ValueError("no page")
+
+    monkeypatch.setitem(crawl.PLATFORMS, "broken", broken)
+    page = spark.createDataFrame([("q", '<a href="/reel/1234567/" title="Some title">x</a>', 1)], "query string, html string, seq bigint")
+    errors = []
+    found = crawl.crawl_all({"broken": page, "facebook": page}, "now", ["broken", "facebook"], errors=errors).collect()
+    assert [r.title for r in found] == ["Some title"] and errors == ["broken: ValueError: no page"]
+    assert crawl.crawl_all({"facebook": page}, "now", ["bilibili"]).count() == 0
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from uploadwatch.__main__ import main
+
+    page = '<a href="/reel/1234567/" title="Liga Champions">x</a>'
+    spark.createDataFrame([("q", page, 1)], "query string, html string, seq bigint").write.parquet(str(tmp_path / "pages"))
+    (tmp_path / "titles.txt").write_text("# titles\nLiga Champions\n")
+    given = ["run", "--pages", f"facebook={tmp_path / 'pages'}", "--titles", str(tmp_path / "titles.txt"), "--whitelist", str(tmp_path / "none.txt"), "--tables", str(tmp_path / "tables"), "--stats", str(tmp_path / "stats")]
+    assert main(given, spark) == 0 and main(given, spark) == 0
+    log = tables.Log(spark, str(tmp_path / "tables" / "log"), schemas.RUN_LOG).read().collect()
+    assert [r.detections_found for r in log] == [1, 1]
+    assert tables.Table(spark, str(tmp_path / "tables" / "detections"), schemas.DETECTIONS_TABLE).read().count() == 1
+    capsys.readouterr()
+    assert main(["canary", "--stats", str(tmp_path / "stats")], spark) == 1  # one row cannot be a duplicate, which is below the expected ratio
+    assert '"overall_status": "degraded"' in capsys.readouterr().out
+    for name in ("GOOGLE_SHEETS_ID", "FB_COOKIE_FILE"):
+        monkeypatch.delenv(name, raising=False)
+    assert main(["preflight"]) == 1
+
+
+def test_same_identity(spark):
+    from uploadwatch.operators import identity as who
+
+    kind = "struct<platform:string,permanent_id:string>"
+    rows = spark.createDataFrame([(("a", "1"), ("a", "1")), (("a", "1"), ("b", "1")), (("a", "1"), ("a", "2"))], f"x {kind}, y {kind}")
+    assert [r[0] for r in rows.select(who.same_identity(F.col("x"), F.col("y"))).collect()] == [True, False, False]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -256,11 +257,36 @@ def identity_fetched(spark, sf_dir):
 
 _URL_EDGES = f"SELECT seq AS a, first AS b FROM (SELECT seq, min(seq) OVER (PARTITION BY {url_sql('url')}) AS first FROM docs) WHERE seq > first"
 _TITLE_EDGES = f"SELECT seq AS a, first AS b FROM (SELECT seq, min(seq) OVER (PARTITION BY platform, channel_id, {canonical_sql('title')}) AS first FROM docs) WHERE seq > first"
-_COMPONENTS = f"""{DOCS}, e AS MATERIALIZED ({_URL_EDGES} UNION {_TITLE_EDGES}), both_ways AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+
+
+def _similar_sql(pairs: str) -> str:
+    """compared: the rows of pairs (t1, t2, canonical titles of less than 120 letters) with their similarity.
+
+    The common subsequence is found a row of bits at a time: a bit of the first text stays set until it is matched.
+    """
+    return f"""sorted_words AS (SELECT *, list_sort(list_distinct(string_split(t1, ' '))) AS x, list_sort(list_distinct(string_split(t2, ' '))) AS y FROM {pairs}),
+shared AS (SELECT *, list_filter(x, lambda v: list_contains(y, v)) AS c, list_filter(x, lambda v: NOT list_contains(y, v)) AS l, list_filter(y, lambda v: NOT list_contains(x, v)) AS r FROM sorted_words),
+spelled AS (SELECT *, array_to_string(c, ' ') AS cs, array_to_string(list_concat(c, l), ' ') AS cx, array_to_string(list_concat(c, r), ' ') AS cy FROM shared),
+masked AS (SELECT *, (1::HUGEINT << length(cx)) - 1 AS whole, string_split(cx, '') AS xs, list_transform(string_split(cy, ''), lambda ch: list_sum(list_transform(range(length(cx)), lambda i: CASE WHEN substr(cx, i + 1, 1) = ch THEN 1::HUGEINT << i ELSE 0::HUGEINT END))) AS masks FROM spelled),
+matched AS (SELECT *, length(cx) - bit_count(list_reduce(list_prepend(whole, masks), lambda v, k: ((v + (v & k)) | (v - (v & k))) & whole)) AS common FROM masked),
+compared AS (SELECT *, CASE WHEN t1 = '' OR t2 = '' THEN CASE WHEN t1 = t2 THEN 1.0 ELSE 0.0 END WHEN len(c) > 0 AND (len(l) = 0 OR len(r) = 0) THEN 1.0
+  ELSE greatest(2 * common::DOUBLE / (length(cx) + length(cy)), CASE WHEN len(c) > 0 THEN 2 * length(cs)::DOUBLE / (length(cs) + least(length(cx), length(cy))) ELSE 0 END) END AS similarity FROM matched)"""
+
+
+_FUZZY = f"""named AS MATERIALIZED (SELECT platform, channel_id, {canonical_sql('title')} AS t, min(seq) AS s FROM docs GROUP BY ALL HAVING t <> ''),
+title_pairs AS MATERIALIZED (SELECT x.t AS t1, y.t AS t2, x.s AS s1, y.s AS s2 FROM named x JOIN named y ON x.platform = y.platform AND x.channel_id = y.channel_id AND x.s < y.s), {_similar_sql('title_pairs')},
+fuzzy AS MATERIALIZED (SELECT s2 AS a, s1 AS b FROM compared WHERE similarity >= {config.FUZZY_THRESHOLD})"""
+
+
+def _components_sql(docs: str = DOCS, fuzzy: bool = False) -> str:
+    return f"""{docs}{', ' + _FUZZY if fuzzy else ''}, e AS MATERIALIZED ({_URL_EDGES} UNION {_TITLE_EDGES}{' UNION SELECT a, b FROM fuzzy' if fuzzy else ''}), both_ways AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach(node, seen) AS (SELECT seq, seq FROM docs UNION SELECT reach.node, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.seen),
 parts AS MATERIALIZED (SELECT node AS seq, min(seen) AS component FROM reach GROUP BY node)"""
 
 
+_COMPONENTS = _components_sql()
+
+
 @query(f"WITH {DOCS} {_URL_EDGES}")
 def dedupe_url_pass(spark, sf_dir):
     return cluster.url_edges(adapters.documents(spark, sf_dir))
@@ -276,8 +302,10 @@ def dedupe_components(spark, sf_dir):
     return cluster.deduplicate(adapters.documents(spark, sf_dir), fuzzy_threshold=None).select("seq", "component")
 
 
-_CLUSTERS = f"""{_COMPONENTS}, ranked AS (
+_RANKED = """ranked AS (
   SELECT docs.*, component, count(*) OVER (PARTITION BY component) AS n, row_number() OVER (PARTITION BY component ORDER BY length(snapshot_html) DESC, detected_at, docs.seq) AS place FROM docs JOIN parts USING (seq))"""
+_CLUSTERS = f"{_COMPONENTS}, {_RANKED}"
+_CLUSTER_ID_SQL = f"left(sha256(platform || chr(0) || channel_id || chr(0) || {url_sql('url')}), 16)"
 
 
 @query(f"WITH RECURSIVE {_CLUSTERS} SELECT component, seq, CAST(n AS INTEGER) AS cluster_size, left(sha256(platform || chr(0) || channel_id || chr(0) || {url_sql('url')}), 16) AS cluster_id FROM ranked WHERE place = 1")
@@ -291,20 +319,24 @@ def cluster_ids(spark, sf_dir):
     return adapters.pages(spark, sf_dir).select("seq", cluster.cluster_id(F.col("platform"), F.col("channel_id"), F.col("url")).alias("cluster_id"))
 
 
+#: Two runs that overlap and together hold every row: some languages and sources are in one of them only.
+_IN_OLD, _IN_NEW = "(platform <> 'de' AND channel_id <> 'src1')", "(platform = 'de' OR channel_id = 'src1' OR (platform <> 'fr' AND channel_id <> 'src2'))"
+
+
 def _two_batches(spark, sf_dir):
-    """Two runs over one set of clusters: by thirds of numbers, with some clusters in one run only."""
-    d = adapters.documents(spark, sf_dir).withColumn("cluster_id", F.concat(F.lit("c"), F.floor(F.col("seq") / 6).cast("string")))
+    """Two runs over one set of clusters, some of which are in one run only."""
+    d = adapters.documents(spark, sf_dir).withColumn("cluster_id", F.concat("channel_id", F.lit("-"), F.floor(F.col("seq") / 48).cast("string")))
     parts = []
-    for side, rest in ((0, (0, 1, 2, 3)), (1, (2, 3, 4, 5))):
-        own = d.filter((F.col("seq") % 6).isin(*rest)).filter(~((F.floor(F.col("seq") / 6) % 10) == side))
+    for side in (_IN_OLD, _IN_NEW):
+        own = d.filter(side)
         best = cluster.pick_canonical(own, ["cluster_id"]).select("cluster_id", F.col("seq").alias("_best"))
         parts.append(own.join(best, "cluster_id").withColumn("is_canonical", F.col("seq") == F.col("_best")).drop("_best"))
     return parts
 
 
 @query(
-    f"""WITH {DOCS}, d AS (SELECT *, 'c' || (seq // 6) AS cluster_id, {url_sql('url')} AS canon FROM docs),
-    s AS (SELECT *, 0 AS side FROM d WHERE seq % 6 IN (0, 1, 2, 3) AND seq // 6 % 10 <> 0 UNION ALL SELECT *, 1 FROM d WHERE seq % 6 IN (2, 3, 4, 5) AND seq // 6 % 10 <> 1),
+    f"""WITH {DOCS}, d AS (SELECT *, channel_id || '-' || (seq // 48) AS cluster_id, {url_sql('url')} AS canon FROM docs),
+    s AS (SELECT *, 0 AS side FROM d WHERE {_IN_OLD} UNION ALL SELECT *, 1 FROM d WHERE {_IN_NEW}),
     c AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, side ORDER BY length(snapshot_html) DESC, detected_at, seq) = 1 AS canonical, min(side) OVER (PARTITION BY cluster_id) < max(side) OVER (PARTITION BY cluster_id) AS met FROM s),
     f AS (SELECT * FROM c QUALIFY NOT met OR row_number() OVER (PARTITION BY cluster_id, canon ORDER BY side, canonical DESC, seq) = 1),
     p AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY side, canonical DESC, seq) AS pool FROM f)
@@ -314,12 +346,12 @@ def merge_clusters(spark, sf_dir):
     return cluster.merge(*_two_batches(spark, sf_dir)).select("cluster_id", "seq", "is_canonical", "cluster_size")
 
 
-@query()
+@query(f"WITH {DOCS}, {_FUZZY} SELECT a, b FROM fuzzy")
 def dedupe_fuzzy(spark, sf_dir):
     return cluster.fuzzy_edges(adapters.documents(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {_components_sql(fuzzy=True)}, {_RANKED} SELECT component, seq, CAST(n AS INTEGER) AS cluster_size, {_CLUSTER_ID_SQL} AS cluster_id FROM ranked WHERE place = 1")
 def dedupe_all_passes(spark, sf_dir):
     return cluster.clusters(cluster.deduplicate(adapters.documents(spark, sf_dir))).select("component", "seq", "cluster_size", "cluster_id")
 
@@ -331,7 +363,13 @@ def _graded_sql(x: str, grades) -> str:
     return "CASE " + " ".join(f"WHEN {x} >= {least} THEN {points}" for least, points in grades) + " ELSE 0 END"
 
 
-@query()
+#: Points of each distinct canonical title of documents, by the best similarity with a catalog title.
+_TITLE_POINTS = f"""said AS (SELECT DISTINCT {canonical_sql('title')} AS t1 FROM docs WHERE trim(title) <> ''), known AS (SELECT DISTINCT {canonical_sql("array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ')")} AS t2 FROM benchmark),
+catalog_pairs AS MATERIALIZED (SELECT t1, t2 FROM said, known), {_similar_sql('catalog_pairs')},
+title_points AS MATERIALIZED (SELECT t1, CAST({_graded_sql('max(similarity)', config.TITLE_GRADES)} AS INTEGER) AS points FROM compared GROUP BY t1)"""
+
+
+@query(f"WITH {DOCS}, {_TITLE_POINTS} SELECT seq, CASE WHEN trim(title) = '' THEN 0 ELSE coalesce(points, 0) END AS points FROM docs LEFT JOIN title_points ON t1 = {canonical_sql('title')}")
 def title_match(spark, sf_dir):
     return score.with_title_points(adapters.documents(spark, sf_dir), adapters.titles(spark, sf_dir)).select("seq", "points")
 
@@ -376,10 +414,10 @@ def verdict_counts(spark, sf_dir):
     return score.verdict_counts(_scored_events(spark, sf_dir))
 
 
-@query(f"WITH {DOCS}, p AS (SELECT channel_id, count(*) AS prior FROM docs WHERE seq % 50 = 0 GROUP BY 1) SELECT seq, CAST({_graded_sql('coalesce(prior, 0)', config.REPEAT_GRADES)} AS INTEGER) AS score FROM docs LEFT JOIN p USING (channel_id)")
+@query(f"WITH {DOCS}, p AS (SELECT channel_id, count(*) FILTER (length(title) < 20) AS prior FROM docs GROUP BY 1) SELECT seq, CAST({_graded_sql('coalesce(prior, 0)', config.REPEAT_GRADES)} AS INTEGER) AS score FROM docs LEFT JOIN p USING (channel_id)")
 def batch_score(spark, sf_dir):
     d = identity.with_fallback(adapters.documents(spark, sf_dir).withColumn("snapshot_html", F.lit("")), RUN_TS)
-    prior = d.filter(F.col("seq") % 50 == 0).groupBy(F.col("channel_id").alias("permanent_id")).agg(F.count("*").alias("prior"))
+    prior = d.groupBy(F.col("channel_id").alias("permanent_id")).agg(F.count_if(F.length("title") < 20).alias("prior"))
     return score.batch_score(d, prior, RUN_TS).select("seq", "score")
 
 
@@ -449,16 +487,16 @@ _TABLE_COLUMNS = "cluster_id, content_title, score, verdict, status, first_detec
 
 
 @query(
-    f"""WITH {DOCS}, r AS (SELECT 'c' || seq AS cluster_id, title AS content_title, CAST(seq % 100 AS INTEGER) AS score, detected_at, seq FROM docs)
+    f"""WITH {DOCS}, r AS (SELECT 'c' || seq AS cluster_id, title AS content_title, CAST(seq % 100 AS INTEGER) AS score, detected_at, seq, {_IN_OLD} AS was, {_IN_NEW} AS came FROM docs)
     SELECT a.cluster_id, CASE WHEN b.cluster_id IS NOT NULL AND a.seq % 4 <> 0 THEN 'new ' || a.content_title ELSE a.content_title END AS content_title, CASE WHEN b.cluster_id IS NOT NULL THEN 100 - a.score ELSE a.score END AS score, CASE WHEN b.cluster_id IS NOT NULL THEN 'likely' ELSE 'possible' END AS verdict,
-    'reviewed' AS status, a.detected_at AS first_detected, CASE WHEN b.cluster_id IS NOT NULL THEN 'later' ELSE a.detected_at END AS last_detected FROM r a LEFT JOIN r b ON a.cluster_id = b.cluster_id AND b.seq % 3 = 0 WHERE a.seq % 2 = 0
-    UNION ALL SELECT cluster_id, CASE WHEN seq % 4 <> 0 THEN 'new ' || content_title ELSE '' END, 100 - score, 'likely', 'new', 'later', 'later' FROM r WHERE seq % 3 = 0 AND seq % 2 = 1"""
+    'reviewed' AS status, a.detected_at AS first_detected, CASE WHEN b.cluster_id IS NOT NULL THEN 'later' ELSE a.detected_at END AS last_detected FROM r a LEFT JOIN r b ON a.cluster_id = b.cluster_id AND b.came WHERE a.was
+    UNION ALL SELECT cluster_id, CASE WHEN seq % 4 <> 0 THEN 'new ' || content_title ELSE '' END, 100 - score, 'likely', 'new', 'later', 'later' FROM r WHERE came AND NOT was"""
 )
 def detections_merge(spark, sf_dir):
     n = F.col("seq")
     base = adapters.documents(spark, sf_dir).withColumns({"cluster_id": F.concat(F.lit("c"), n.cast("string")), "identity": F.struct(*(F.lit("").alias(c) for c in ("platform", "permanent_id", "display_name", "profile_url"))), "score": (n % 100).cast("int"), "verdict": F.lit("possible")})
-    old = tables.detection_rows(base.filter(n % 2 == 0)).withColumn("status", F.lit("reviewed"))
-    again = base.filter(n % 3 == 0).withColumns({"title": F.when(n % 4 != 0, F.concat(F.lit("new "), "title")).otherwise(""), "score": (100 - n % 100).cast("int"), "verdict": F.lit("likely"), "detected_at": F.lit("later")})
+    old = tables.detection_rows(base.filter(_IN_OLD)).withColumn("status", F.lit("reviewed"))
+    again = base.filter(_IN_NEW).withColumns({"title": F.when(n % 4 != 0, F.concat(F.lit("new "), "title")).otherwise(""), "score": (100 - n % 100).cast("int"), "verdict": F.lit("likely"), "detected_at": F.lit("later")})
     return tables.merge_detections(old, tables.detection_rows(again)).select(*_TABLE_COLUMNS.split(", "))
 
 
@@ -490,9 +528,8 @@ def overall_status(spark, sf_dir):
 
 @query("SELECT 'run-' || lang AS run_id, 90.5::DOUBLE AS duration_seconds, CAST(count(*) AS INTEGER) AS detections_found, 'facebook' AS platforms_crawled FROM documents GROUP BY lang")
 def run_log(spark, sf_dir):
-    stats = _stats(spark, sf_dir)
-    row = tables.run_log_row(stats.withColumn("run", F.col("lang")), "run-", "2026-01-01T00:00:00Z", "2026-01-01T00:01:30.5Z")
-    return row.join(stats.select(F.col("detections_raw").alias("detections_found"), "lang"), "detections_found").select(F.concat("run_id", "lang").alias("run_id"), "duration_seconds", "detections_found", "platforms_crawled")
+    row = tables.run_log_row(_stats(spark, sf_dir), F.concat(F.lit("run-"), "lang"), "2026-01-01T00:00:00Z", "2026-01-01T00:01:30.5Z")
+    return row.select("run_id", "duration_seconds", "detections_found", "platforms_crawled")
 
 
 # Whole runs -------------------------------------------------------------------------------------------------
@@ -511,7 +548,17 @@ def flagship(spark, sf_dir):
     return best.groupBy("channel_id").agg(F.count("*").alias("videos"), F.count_if(points > 0).alias("marked"))
 
 
-@query()
+_MARKERS_SQL = " + ".join(f"CAST(contains(lower(snapshot_html), '{m.lower()}') AS INTEGER)" for m in config.BRAND_MARKERS)
+#: Names of the similarity's steps serve once in a query: titles against the catalog get names of their own.
+_RUN_POINTS = re.sub(r"\b(sorted_words|shared|spelled|masked|matched|compared)\b", r"catalog_\1", _TITLE_POINTS)
+_VERDICT_SQL = "CASE " + " ".join(f"WHEN score >= {least} THEN '{name}'" for name, least in config.VERDICTS) + " ELSE 'ignore' END"
+
+
+@query(
+    f"""WITH RECURSIVE {_components_sql(DOCS.replace('FROM documents)', f'FROM documents WHERE source NOT IN ({listed(WHITELIST)}))'), fuzzy=True)}, {_RANKED}, {_RUN_POINTS},
+    scored AS (SELECT *, CAST(CASE WHEN trim(title) = '' THEN 0 ELSE coalesce(points, 0) END + {_graded_sql('(' + _MARKERS_SQL + ')', config.MARKER_GRADES)} AS INTEGER) AS score FROM ranked LEFT JOIN title_points ON t1 = {canonical_sql('title')} WHERE place = 1)
+    SELECT {_CLUSTER_ID_SQL} AS cluster_id, seq, CAST(n AS INTEGER) AS cluster_size, score, {_VERDICT_SQL} AS verdict FROM scored"""
+)
 def run_documents(spark, sf_dir):
     """The whole run over documents: score, verdict and cluster of each canonical detection."""
     listed_channels = spark.createDataFrame([(c,) for c in WHITELIST], "channel_id string")

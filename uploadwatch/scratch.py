@@ -13,10 +13,12 @@ _MADE: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """What ``spark.checkpoint.dir`` names; a temporary folder only where it is unset (local tests)."""
+    """What ``spark.checkpoint.dir`` names; where it is unset, a temporary folder on a local master and an error elsewhere."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_ROOT:
         _OWN_ROOT[app] = "file://" + tempfile.mkdtemp(prefix="uploadwatch-")

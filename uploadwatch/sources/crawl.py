@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 from uploadwatch import config, schemas
 from uploadwatch.functions import pages, urls
 from uploadwatch.functions.text import duration_seconds
+from uploadwatch.scratch import materialize
 
 CARDS = "query string, page_seq bigint, pos int, url string, video_id string, title string, channel_id string, channel_name string, views string, duration string"
 
 
-def social_detections(crawled: DataFrame, run_ts: str, max_results: int | None = None) -> DataFrame:
-    """A detection for each distinct video address of a result page, in order; data of the page stand in for what its links lack."""
-    found = crawled.select("query", "html", F.col("seq").alias("page_seq"), F.posexplode(pages.video_urls(F.col("html"))).alias("pos", "url"))
+def social_detections(crawled: DataFrame, run_ts: str, max_results: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A detection for each distinct video address of a result page, in order; data of the page stand in for what its links lack.  keep: further columns of the page that stay."""
+    found = crawled.select("query", "html", F.col("seq").alias("page_seq"), *keep, F.posexplode(pages.video_urls(F.col("html"))).alias("pos", "url"))
     if max_results is not None:
         found = found.filter(F.col("pos") < max_results)
     html, url = F.col("html"), F.col("url")
@@ -38,7 +39,7 @@ def social_detections(crawled: DataFrame, run_ts: str, max_results: int | None =
     extra = F.struct(pages.views_near(html, place).alias("view_count"), *(F.lit(None).cast(t).alias(n) for n, t in (("duration_secs", "int"), ("content_id_match", "boolean"), ("fingerprint_match_level", "string"), ("account_age_days", "int"))))
     return read.select(
         F.lit("facebook").alias("platform"), "url", title.alias("title"), channel.alias("channel_id"), F.coalesce("owner.name", F.lit("")).alias("channel_name"), snapshot.alias("snapshot_html"),
-        F.lit(run_ts).alias("detected_at"), F.col("query").alias("query_used"), extra.alias("extra"), (F.col("page_seq") * 100_000 + F.col("pos")).alias("seq"),
+        F.lit(run_ts).alias("detected_at"), F.col("query").alias("query_used"), extra.alias("extra"), (F.col("page_seq") * 100_000 + F.col("pos")).alias("seq"), *keep,
     )
 
 
@@ -184,13 +185,23 @@ def enabled_platforms(asked: list[str] | None = None, env: dict[str, str] | None
     return [p for p in given if p in PLATFORMS]
 
 
-def crawl_all(crawled: dict[str, DataFrame], run_ts: str, platforms: list[str] | None = None, max_results: int | None = 50) -> DataFrame:
-    """Detections of all enabled platforms whose pages are given; seq follows platform, page and place."""
-    found = [PLATFORMS[p](crawled[p], run_ts, max_results=max_results).withColumn("seq", F.col("seq") + F.lit(k) * 10**15) for k, p in enumerate(enabled_platforms(platforms)) if p in crawled]
-    if not found:
-        spark = next(iter(crawled.values())).sparkSession
-        return spark.createDataFrame([], schemas.DETECTION)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+def crawl_all(crawled: dict[str, DataFrame], run_ts: str, platforms: list[str] | None = None, max_results: int | None = 50, errors: list[str] | None = None) -> DataFrame:
+    """Detections of all enabled platforms whose pages are given; seq follows platform, page and place.
+
+    A platform whose extraction fails is left out with a warning, and named in errors; the others go on.
+    """
+    spark = next(iter(crawled.values())).sparkSession
+    out = spark.createDataFrame([], schemas.DETECTION)
+    for k, p in enumerate(enabled_platforms(platforms)):
+        if p not in crawled:
+            continue
+        try:
+            found = materialize(PLATFORMS[p](crawled[p], run_ts, max_results=max_results).withColumn("seq", F.col("seq") + F.lit(k) * 10**15), "crawled")
+        except Exception as e:  # whatever a platform's pages do must not end the run
+            said = f"{p}: {type(e).__name__}: {str(e).splitlines()[0][:200] if str(e) else ''}"
+            warnings.warn(f"platform is left out: {said}", stacklevel=2)
+            if errors is not None:
+                errors.append(said)
+            continue
+        out = out.unionByName(found)
     return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -20,17 +22,21 @@ def page_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def first_detections(pages: DataFrame, run_ts: str, late: str = "1 day") -> DataFrame:
-    """A detection per canonical video address within the watermark; state is dropped once it passes."""
-    found = social_detections(pages, run_ts).withColumn("_url", canonical_url(F.col("url"))).withColumn("crawled_at", F.current_timestamp())
-    return found.withWatermark("crawled_at", late).dropDuplicatesWithinWatermark(["_url"]).drop("_url")
+    """A detection per canonical video address within the watermark, by the time pages were crawled; state is dropped once it passes."""
+    found = social_detections(pages.withWatermark("crawled_at", late), run_ts, keep=("crawled_at",)).withColumn("_url", canonical_url(F.col("url")))
+    return found.dropDuplicatesWithinWatermark(["_url"]).drop("_url")
 
 
 def keep_tables(pages: DataFrame, detections: Table, registry: Table, catalog: list[str], whitelist: DataFrame, run_ts: str, checkpoint: str, settings: Settings = Settings()) -> StreamingQuery:
-    """Each micro-batch is a run whose merges are keyed by cluster; a batch that is tried again changes only counts of violations."""
-
-    def each(batch: DataFrame, _: int) -> None:
-        done = batch_run.run(social_detections(batch, run_ts), whitelist, catalog, run_ts, registry.read(), detections.read(), settings)
-        registry.write(done.registry)
-        detections.write(done.detections)
+    """Each micro-batch is a run whose merges are keyed by cluster.  Versions name the batch they hold, so a batch that is tried again changes nothing that it has written before."""
+    stream = f"{zlib.crc32(checkpoint.encode()):08x}"
+
+    def each(batch: DataFrame, number: int) -> None:
+        if detections.holds(stream, number):
+            return
+        done = batch_run.run(social_detections(batch, run_ts), whitelist, catalog, run_ts, registry.read((stream, number)), detections.read(), settings)
+        if not registry.holds(stream, number):
+            registry.write(done.registry, (stream, number))
+        detections.write(done.detections, (stream, number))
 
     return pages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
