@@ -9,7 +9,9 @@ the system turn (if the conversation starts with one) and as many whole turns of
 hold.  The mask covers the texts of new assistant turns; repeated turns are never under it.  A turn is
 never cut, so one longer than the budget stands in a window of its own.
 
-Turns stream through in order, so memory holds a window at a time, even of a conversation without end.
+Turns stream through in order, so memory holds a window at a time, even of a conversation without end; a
+conversation's digest is a sequence too, so each conversation is one task's stream.  Windows carry their number, so
+they can be written, dealt anew and read back in any order.
 
 Cases: null texts and roles are empty; rows of a null conv_id are one conversation; rows that share conv_id
 and turn stand in order of role and text, null turns first; an empty table gives no rows; further columns
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from uploadwatch.llm.codec import codec, tokenizer_path
@@ -136,14 +138,22 @@ def parse(text: str) -> list[tuple[str, str, bool]]:
 DIGEST = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_windows bigint"
 
 
+def write_windows(formatted: DataFrame, path: str) -> None:
+    formatted.write.option("compression", "zstd").parquet(path)
+
+
+def read_windows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(WINDOWS).parquet(path)
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of what windows() wrote, read from its texts and masks alone."""
+    """Digests of windows, from their numbers, texts and masks alone, in whatever order they come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, out = None, []
         for batch in batches:
-            for conv_id, number, text, mask in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "window", "text", "mask"))):
-                if state is None or number == 0:
+            for conv_id, text, mask in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "text", "mask"))):
+                if state is None or conv_id != state[0]:
                     if state is not None:
                         out.append(_digest(state))
                     state = [conv_id, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
@@ -163,7 +173,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if state is not None:
             yield _digest_rows([_digest(state)])
 
-    return formatted.select("conv_id", "window", "text", "mask").mapInArrow(run, DIGEST)
+    dealt = bounded_batches(formatted).select("conv_id", "window", "text", "mask").repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    return dealt.mapInArrow(run, DIGEST)
 
 
 def _digest(state: list) -> list:

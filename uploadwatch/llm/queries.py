@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from uploadwatch.llm import chat, decontam, dedup, licenses, packing, secrets, store, tokens, topk, toxicity
+from uploadwatch.scratch import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +35,9 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
     turns = table(spark, sf_dir, "conversations").select(*added.columns).unionByName(added)
-    return chat.read_back(chat.windows(turns))
+    path = scratch_path(spark, "windows")
+    chat.write_windows(chat.windows(turns), path)
+    return chat.read_back(chat.read_windows(spark, path))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,9 +74,37 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+DEDUP_SQL = rf"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 3], ' ') AS shingle FROM w, unnest(range(CASE WHEN len(w) = 0 THEN 0 ELSE greatest(1, len(w) - 2) END)) AS u(i)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+both_ways AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(node, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT node, b FROM reach JOIN both_ways ON a = seen),
+parts AS (SELECT node AS doc_id, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM documents LEFT JOIN n USING (doc_id) JOIN parts USING (doc_id)
+"""
+
+LEAKS_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS MATERIALIZED (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+items AS MATERIALIZED (SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i + 1 : i + 10], ' ') AS shown FROM b, unnest(range(CASE WHEN len(w) = 0 THEN 0 ELSE greatest(1, len(w) - 9) END)) AS u(i)),
+sizes AS (SELECT DISTINCT size FROM items),
+shown AS (SELECT doc_id, i, size, array_to_string(w[i + 1 : i + size], ' ') AS shown FROM d, sizes, unnest(range(greatest(0, len(w) - size + 1))) AS u(i)),
+met AS MATERIALIZED (SELECT doc_id, i, size, item_id FROM shown JOIN items USING (size, shown)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, i, size FROM met), unnest(range(i, i + size)) AS u(p) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM met) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_minhash_dedup, op2_topk_search, op3_token_counts, op4_decontamination, op5_chat_formatting, op6_toxicity, op7_license_scan, op8_token_store, op9_packing, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk_search": TOPK_SQL}
+    return {"op1_minhash_dedup": DEDUP_SQL, "op2_topk_search": TOPK_SQL, "op4_decontamination": LEAKS_SQL}
