@@ -7,14 +7,18 @@ code points of each other.  A bare key is reported if an access identifier lies
 if both an identifier or user name and a secret (bare key, assignment) do.  DataFrame functions only; joins
 are semi joins on scope buckets, so no row is multiplied by its partners.
 
-Offsets are code points, ends exclusive.
+Offsets are code points, ends exclusive.  redact() replaces what scan() reports, span by span: values of
+assignments, identifiers, hexadecimal runs and linked keys.  Linked endpoints stay, as they open nothing alone.
 
-Cases: null and empty texts hold nothing; rows that share a doc_id are scanned each for itself; a null
-doc_id stays; further columns are not read; an empty table gives no rows.
+Cases: null and empty texts hold nothing, and redact() leaves them as they are; rows that share a doc_id are
+scanned each for itself; a null doc_id stays; further columns are not read by scan() and kept by redact(), also
+those with names of results; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,25 +34,30 @@ ENDPOINT = r"(?i)\b(?:https?|postgres|postgresql|mysql|mongodb|redis|amqp|ftp):/
 USER = r"""(?i)(?<![A-Za-z0-9])(?:user|username|login|access_key_id|client_id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]+"""
 KINDS = ("assign", "access", "hex", "secret", "endpoint")
 SCOPE = 400
+BLOCK = 512  # matches of one text whose places are summed at a time
 _SPANS = "array<struct<start:int,past:int,value:int>>"
 
 
+def _running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Running sums, or the like, of an array of integers: within blocks, then over blocks, as appending to one array copies it each time."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, BLOCK))
+    more = lambda acc, x: F.array_append(acc, F.coalesce(combine(F.try_element_at(acc, F.lit(-1)), x), x))
+    inner = F.transform(blocks, lambda block: F.aggregate(block, F.array().cast("array<int>"), more))
+    last = F.aggregate(F.transform(inner, lambda x: F.element_at(x, -1)), F.array().cast("array<int>"), more)
+    return F.flatten(F.transform(F.arrays_zip(inner.alias("own"), F.concat(F.array(F.lit(None).cast("int")), F.slice(last, 1, F.size(last) - 1)).alias("before")), lambda x: F.transform(x["own"], lambda y: F.coalesce(combine(x["before"], y), y))))
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """start, past, value (length of the group) of all matches, left to right.
 
     What splitting leaves between the matches gives their places.
     """
+    lengths = lambda c: F.transform(c, lambda s: F.length(s))
     whole, inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    sizes = F.arrays_zip(F.transform(F.split(text, pattern, -1), lambda s: F.length(s)).alias("gap"), F.transform(whole, lambda s: F.length(s)).alias("size"), F.transform(inner, lambda s: F.length(s)).alias("value"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        past = start + F.coalesce(x["size"], F.lit(0))
-        span = F.struct(start.alias("start"), past.alias("past"), x["value"].alias("value"))
-        return F.struct(past.alias("at"), F.when(x["size"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], span)).alias("out"))
-
-    return F.when(text.rlike(pattern), F.aggregate(sizes, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPANS))
+    sizes = F.arrays_zip(lengths(F.split(text, pattern, -1)).alias("gap"), lengths(whole).alias("size"), lengths(inner).alias("value"))
+    known = F.filter(sizes, lambda x: x["size"].isNotNull())
+    settled = F.get(F.transform(F.array(known), lambda found: F.transform(F.arrays_zip(_running(F.transform(found, lambda x: x["gap"] + x["size"]), lambda a, b: a + b).alias("past"), found.alias("x")), lambda y: F.struct((y["past"] - y["x"]["size"]).alias("start"), y["past"].alias("past"), y["x"]["value"].alias("value")))), F.lit(0))
+    return F.when(text.rlike(pattern), settled).otherwise(F.array().cast(_SPANS))
 
 
 def base_spans(texts: DataFrame) -> DataFrame:
@@ -97,16 +106,24 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", scope: int = SCOPE) -> DataFrame:
-    """docs with reported secrets replaced in text: values of assignments and what was linked with the text's identifiers."""
-    key = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    names = [f"_{c}_part" for c in ("doc", "text", "spans")]
-    more = linked_spans(docs.select("doc_id", key.alias("text")).withColumn("_key", row_key()), scope).filter("kind = 'secret'").select(F.col("doc_id").alias(names[0]), F.col("_key").alias(names[1])).distinct().withColumn(names[2], F.lit(True))
-    joined = docs.join(more, docs["doc_id"].eqNullSafe(more[names[0]]) & (F.xxhash64(key, F.length(key)) == more[names[1]]), "left")
-    value = r"""(?i)((?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)[A-Za-z0-9+/_.=-]{8,}"""
-    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("text"), value, "$1" + _quoted(mark)), ACCESS, _quoted(mark)), HEX, _quoted(mark))
-    text = F.when(F.col(names[2]), F.regexp_replace(clean, BARE, _quoted(mark))).otherwise(clean)
-    return joined.select(*(text.alias(c) if c == "text" else docs[c] for c in docs.columns))
-
-
-def _quoted(mark: str) -> str:
-    return mark.replace("\\", r"\\").replace("$", r"\$")
+    """docs with the reported secrets replaced in text, each span by the mark; spans that overlap are one."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    names = [f"_{c}_part" for c in ("doc", "text", "keys")]
+    keys = linked_spans(docs.select("doc_id", text.alias("text")).withColumn("_key", row_key()), scope).filter("kind = 'secret'")
+    more = keys.groupBy(F.col("doc_id").alias(names[0]), F.col("_key").alias(names[1])).agg(F.collect_set(F.struct("start", "past")).alias(names[2]))
+    joined = docs.join(more, docs["doc_id"].eqNullSafe(more[names[0]]) & (F.xxhash64(text, F.length(text)) == more[names[1]]), "left")
+    own = docs["text"].cast("string")
+    span = lambda first, past: F.struct(first.alias("start"), past.alias("past"))
+    values = F.transform(F.filter(matches(own, ASSIGN, 2), lambda s: s["value"] >= LEAST_VALUE), lambda s: span(s["past"] - s["value"], s["past"]))
+    others = [F.transform(matches(own, p), lambda s: span(s["start"], s["past"])) for p in (ACCESS, HEX)]
+    spans = F.array_sort(F.concat(values, *others, F.coalesce(F.col(names[2]), F.array().cast("array<struct<start:int,past:int>>"))))
+
+    def replaced(chars: Column, found: Column, reach: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), F.slice(reach, 1, F.size(reach) - 1))
+        kept = F.transform(F.arrays_zip(found.alias("s"), before.alias("at")), lambda x: F.when(x["s"]["start"] >= x["at"], F.concat(F.array_join(F.slice(chars, x["at"] + 1, x["s"]["start"] - x["at"]), ""), F.lit(mark))).otherwise(""))
+        rest = F.slice(chars, F.element_at(reach, -1) + 1, F.size(chars))
+        return F.concat(F.array_join(kept, ""), F.array_join(rest, ""))
+
+    one = lambda c, then: F.get(F.transform(F.array(c), then), F.lit(0))  # noqa: E731  what is used more than once is worked out once
+    clean = one(spans, lambda found: F.when(F.size(found) > 0, one(F.split(own, ""), lambda chars: one(_running(F.transform(found, lambda s: s["past"]), lambda a, b: F.greatest(a, b)), lambda reach: replaced(chars, found, reach)))).otherwise(own))
+    return joined.select(*(F.when(own.isNotNull(), clean).alias(c) if c == "text" else docs[c] for c in docs.columns))
