@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from uploadwatch import config
+from uploadwatch import config, schemas
 from uploadwatch.functions import pages as on_pages
 from uploadwatch.functions import text, urls
 from uploadwatch.operators import cluster, health, identity, registry, score, search
@@ -196,6 +196,22 @@ def view_counts(spark, sf_dir):
     return adapters.table(spark, sf_dir, "documents").select("doc_id", on_pages.card_views(said).alias("views"))
 
 
+@query("""SELECT page_id AS seq, 'Café ' || page_id AS title, '44000' || page_id AS owner_id, 'Owner ' || page_id AS owner_name, CAST(page_id * 3 AS BIGINT) AS views FROM pages""")
+def embedded_data(spark, sf_dir):
+    """What the data of a page tell of a video whose link has neither title nor owner."""
+    n = F.col("page_id").cast("string")
+    html = F.concat(F.lit('<a href="/reel/90000'), n, F.lit('/"> </a>'), F.repeat(F.lit("."), 1200), F.lit('{"open":"\\/reel\\/90000'), n, F.lit('","title":"Caf\\u00e9 '), n, F.lit('","id":"44000'), n, F.lit('","name":"Owner '), n, F.lit('"},"play_count":{"count":'), (F.col("page_id") * 3).cast("string"), F.lit("}"))
+    d = adapters.table(spark, sf_dir, "pages").select("page_id", html.alias("html"), F.concat(F.lit("90000"), n).alias("video"))
+    owner = on_pages.data_channel(F.col("html"), F.col("video"))
+    place = F.locate("play_count", F.col("html"))
+    return d.select(F.col("page_id").alias("seq"), on_pages.data_title(F.col("html"), F.col("video")).alias("title"), owner["id"].alias("owner_id"), owner["name"].alias("owner_name"), on_pages.views_near(F.substring(F.col("html"), place - 1, F.lit(200)), F.lit(0)).alias("views"))
+
+
+@query("SELECT page_id AS seq, 'https://www.bilibili.tv/en/search?keyword=' || replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '.', '+dot+') || '&type=VIDEO' AS url FROM pages")
+def card_search_urls(spark, sf_dir):
+    return adapters.pages(spark, sf_dir).select("seq", urls.card_search_url(F.replace("channel_id", F.lit("."), F.lit(" dot "))).alias("url"))
+
+
 @query("""SELECT page_id AS seq, 'https://www.bilibili.tv/video/20' || lpad(CAST(page_id AS VARCHAR), 10, '0') AS url, 'Film ' || page_id AS title, 'up' || page_id AS channel_id, CAST(page_id % 3 * 600 + 30 AS INTEGER) AS seconds, page_id * 1000 AS view_count FROM pages WHERE page_id % 3 > 0""")
 def card_detections(spark, sf_dir):
     n = F.col("page_id").cast("string")
@@ -253,6 +269,43 @@ def identity_fetched(spark, sf_dir):
     return profiles.join(found, ["platform", "url", "hint"]).select("seq", "identity.permanent_id", "identity.display_name", "identity.confidence")
 
 
+@query(
+    """SELECT page_id AS seq, 'UC' || lpad(CAST(page_id % 50 AS VARCHAR), 22, '0') AS permanent_id, 'Channel ' || (page_id % 50) AS display_name, CAST(0.9 AS DOUBLE) AS confidence,
+    'https://www.youtube.com/channel/UC' || lpad(CAST(page_id % 50 AS VARCHAR), 22, '0') AS profile_url FROM pages"""
+)
+def identity_video_pages(spark, sf_dir):
+    """Channels by handle, whose pages tell number and name."""
+    k = (F.col("page_id") % 50).cast("string")
+    p = adapters.table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), F.lit("youtube").alias("platform"), F.concat(F.lit("https://www.youtube.com/@c"), k).alias("url"), F.lit("").alias("hint"), k.alias("k"))
+    number = F.concat(F.lit("UC"), F.lpad("k", 22, "0"))
+    fetched = p.select("url", "k").distinct().select("url", F.concat(F.lit("<title>Channel "), "k", F.lit(' - YouTube</title><script>{"channelId":"'), number, F.lit('"}</script>')).alias("html"))
+    found = identity.resolve(p, fetched, RUN_TS)
+    return p.join(found, ["platform", "url", "hint"]).select("seq", "identity.permanent_id", "identity.display_name", "identity.confidence", "identity.profile_url")
+
+
+@query(
+    """SELECT page_id AS seq, CASE WHEN page_id % 50 % 3 = 0 THEN '70' || (page_id % 50) ELSE 'user.' || (page_id % 50) END AS permanent_id, CASE WHEN page_id % 50 % 3 = 0 THEN 'Nick ' || (page_id % 50) ELSE '' END AS display_name,
+    CAST(CASE WHEN page_id % 50 % 3 = 0 THEN 0.95 ELSE 0.6 END AS DOUBLE) AS confidence FROM pages"""
+)
+def identity_short_video_pages(spark, sf_dir):
+    """Profiles whose pages hold data for one in three; the others fall back to the name in the address."""
+    k = (F.col("page_id") % 50).cast("string")
+    p = adapters.table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), F.lit("tiktok").alias("platform"), F.concat(F.lit("https://www.tiktok.com/@user."), k).alias("url"), F.lit("").alias("hint"), k.alias("k"))
+    data = F.concat(F.lit('<script id="__NEXT_DATA__" type="x">{"props":{"pageProps":{"userInfo":{"user":{"id":"70'), "k", F.lit('","nickname":"Nick '), "k", F.lit('"}}}}}</script>'))
+    fetched = p.select("url", "k").distinct().select("url", F.when(F.col("k").cast("int") % 3 == 0, data).otherwise("<p>empty</p>").alias("html"))
+    found = identity.resolve(p, fetched, RUN_TS)
+    return p.join(found, ["platform", "url", "hint"]).select("seq", "identity.permanent_id", "identity.display_name", "identity.confidence")
+
+
+@query(
+    """SELECT event_type, count(*) AS pairs, count(*) FILTER (user_id % 7 = event_id % 7) AS same FROM events GROUP BY event_type"""
+)
+def same_identities(spark, sf_dir):
+    e = adapters.table(spark, sf_dir, "events")
+    who = lambda c: F.struct(F.col("event_type").alias("platform"), (F.col(c) % 7).cast("string").alias("permanent_id"))
+    return e.groupBy("event_type").agg(F.count("*").alias("pairs"), F.count_if(identity.same_identity(who("user_id"), who("event_id"))).alias("same"))
+
+
 # Clusters ---------------------------------------------------------------------------------------------------
 
 _URL_EDGES = f"SELECT seq AS a, first AS b FROM (SELECT seq, min(seq) OVER (PARTITION BY {url_sql('url')}) AS first FROM docs) WHERE seq > first"
@@ -363,6 +416,22 @@ def _graded_sql(x: str, grades) -> str:
     return "CASE " + " ".join(f"WHEN {x} >= {least} THEN {points}" for least, points in grades) + " ELSE 0 END"
 
 
+_ITEM_TITLE_SQL = "array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ')"
+
+
+@query(
+    f"""WITH {DOCS}, items AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS k, {canonical_sql(_ITEM_TITLE_SQL)} AS t2, count(*) OVER () AS n FROM benchmark),
+    met AS MATERIALIZED (SELECT seq, {canonical_sql('title')} AS t1, t2 FROM docs JOIN items ON k = seq % n), {_similar_sql('met')} SELECT seq, round(similarity, 9) AS similarity FROM compared"""
+)
+def title_similarity(spark, sf_dir):
+    """Each document's title against one catalog title."""
+    known = adapters.titles(spark, sf_dir).select(F.col("seq").alias("item"), "title").orderBy("item")
+    n = known.count()
+    numbered = known.select((F.row_number().over(Window.orderBy("item")) - 1).cast("bigint").alias("k"), F.col("title").alias("known"))  # a catalog is a list of titles
+    d = adapters.documents(spark, sf_dir).select("seq", "title").withColumn("k", F.col("seq") % F.lit(max(n, 1)))
+    return d.join(numbered, "k").select("seq", F.round(text.similarity(F.col("title"), F.col("known")), 9).alias("similarity"))
+
+
 #: Points of each distinct canonical title of documents, by the best similarity with a catalog title.
 _TITLE_POINTS = f"""said AS (SELECT DISTINCT {canonical_sql('title')} AS t1 FROM docs WHERE trim(title) <> ''), known AS (SELECT DISTINCT {canonical_sql("array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ')")} AS t2 FROM benchmark),
 catalog_pairs AS MATERIALIZED (SELECT t1, t2 FROM said, known), {_similar_sql('catalog_pairs')},
@@ -483,6 +552,48 @@ def registry_round_trip(spark, sf_dir):
     return registry.from_rows(registry.to_rows(_registry(spark, sf_dir, 4))).select("platform", "permanent_id", "status", "violation_count", "tier")
 
 
+@query(f"WITH {_REGISTRY} SELECT platform, permanent_id, violation_count, tier FROM reg WHERE platform = 'click' AND permanent_id = (SELECT min(permanent_id) FROM reg WHERE platform = 'click')")
+def registry_lookup(spark, sf_dir):
+    held = _registry(spark, sf_dir, 4)
+    first = held.filter("platform = 'click'").agg(F.min("permanent_id")).first()[0]
+    return registry.lookup(held, "click", first or "").select("platform", "permanent_id", "violation_count", "tier")
+
+
+@query("""SELECT event_type AS platform, CAST(user_id AS VARCHAR) AS permanent_id, CAST(floor(arg_max(value, event_id) * 10) AS INTEGER) AS violation_count, 'active' AS status FROM events GROUP BY ALL""")
+def registry_refresh(spark, sf_dir):
+    """Table rows that repeat a key: the last one counts, and an empty status is active."""
+    e = adapters.table(spark, sf_dir, "events")
+    known = {"permanent_id": F.col("user_id").cast("string"), "platform": F.col("event_type"), "violation_count": F.floor(F.col("value") * 10).cast("int").cast("string"), "status": F.lit("")}
+    rows = e.select(*(known.get(c, F.lit("x")).alias(c) for c in schemas.names(schemas.REGISTRY_TABLE)), F.col("event_id").alias("sheet_row"))
+    return registry.from_rows(rows).select("platform", "permanent_id", "violation_count", "status")
+
+
+@query(
+    f"""WITH {_REGISTRY}, a AS (SELECT * FROM reg WHERE platform <> 'view'), b AS (SELECT * FROM reg WHERE platform <> 'click')
+    SELECT platform, permanent_id, 'later' AS notes, violation_count FROM b UNION ALL SELECT platform, permanent_id, notes, violation_count FROM a WHERE (platform, permanent_id) NOT IN (SELECT (platform, permanent_id) FROM b)"""
+)
+def offenders_merge(spark, sf_dir):
+    held = _registry(spark, sf_dir, 4)
+    return tables.merge_offenders(held.filter("platform <> 'view'"), held.filter("platform <> 'click'").withColumn("notes", F.lit("later"))).select("platform", "permanent_id", "notes", "violation_count")
+
+
+@query(f"WITH {DOCS} SELECT 'c' || seq AS cluster_id, CASE WHEN seq = (SELECT min(seq) FROM docs) THEN 'taken_down' ELSE 'new' END AS status, CASE WHEN seq = (SELECT min(seq) FROM docs) THEN 'by hand' ELSE '' END AS notes FROM docs")
+def detection_status(spark, sf_dir):
+    base = adapters.documents(spark, sf_dir)
+    first = base.agg(F.min("seq")).first()[0]
+    rows = tables.detection_rows(base.withColumns({"cluster_id": F.concat(F.lit("c"), F.col("seq").cast("string")), "identity": F.struct(*(F.lit("").alias(c) for c in ("platform", "permanent_id", "display_name", "profile_url"))), "score": F.lit(1), "verdict": F.lit("possible")}))
+    return tables.update_detection_status(rows, f"c{first}", "taken_down", "by hand").select("cluster_id", "status", "notes")
+
+
+@query(
+    f"""WITH {_REGISTRY} SELECT seq, violation_count, tier, 'new' AS status FROM ev JOIN reg USING (platform, permanent_id)"""
+)
+def detections_with_offenders(spark, sf_dir):
+    """Rows of the detections table get tier and count of their offender."""
+    e = adapters.evidence(spark, sf_dir).withColumns({"cluster_id": F.col("seq").cast("string"), "title": F.lit(""), "score": F.lit(90), "verdict": F.lit("confirmed"), "identity": F.struct("platform", "permanent_id", "display_name", "profile_url")})
+    return tables.detection_rows(e, _registry(spark, sf_dir, 4)).select(F.col("cluster_id").cast("bigint").alias("seq"), "violation_count", "tier", "status")
+
+
 _TABLE_COLUMNS = "cluster_id, content_title, score, verdict, status, first_detected, last_detected"
 
 

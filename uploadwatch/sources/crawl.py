@@ -13,7 +13,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from uploadwatch import config, schemas
@@ -26,19 +26,29 @@ CARDS = "query string, page_seq bigint, pos int, url string, video_id string, ti
 
 def social_detections(crawled: DataFrame, run_ts: str, max_results: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """A detection for each distinct video address of a result page, in order; data of the page stand in for what its links lack.  keep: further columns of the page that stay."""
-    found = crawled.select("query", "html", F.col("seq").alias("page_seq"), *keep, F.posexplode(pages.video_urls(F.col("html"))).alias("pos", "url"))
+    html = F.col("html")
+    bound = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))  # noqa: E731  worked out once, used in then
+    unknown = F.struct(F.lit("unknown").alias("id"), F.lit("").alias("name"))
+
+    def read(url: Column) -> Column:
+        video = urls.video_id(url)
+
+        def settled(place: Column, near: Column, page: Column, owner: Column) -> Column:
+            title = F.when((near == "") & video.isNotNull(), pages.data_title(html, video)).otherwise(near)
+            channel = F.when(page.isNotNull(), urls.channel_of_page(page)).otherwise(owner["id"])
+            snapshot = F.coalesce(F.substring(html, F.greatest(F.lit(1), place - 199), place + 1500 - F.greatest(F.lit(0), place - 200)), F.lit(""))
+            return F.struct(url.alias("url"), title.alias("title"), channel.alias("channel_id"), owner["name"].alias("channel_name"), snapshot.alias("snapshot_html"), pages.views_near(html, place).alias("views"))
+
+        owned = lambda page: F.when(page.isNull() & video.isNotNull(), pages.data_channel(html, video)).otherwise(unknown)
+        return bound(pages.link_place(html, url), lambda place: bound(pages.title_near(html, place), lambda near: bound(pages.page_url_near(html, place), lambda page: bound(owned(page), lambda owner: settled(place, near, page, owner)))))
+
+    # All is read from the page before its links become rows, so rows do not carry pages.
+    found = crawled.select("query", F.col("seq").alias("page_seq"), *keep, F.posexplode(F.transform(pages.video_urls(html), read)).alias("pos", "r"))
     if max_results is not None:
         found = found.filter(F.col("pos") < max_results)
-    html, url = F.col("html"), F.col("url")
-    placed = found.withColumn("place", pages.link_place(html, url)).withColumn("video_id", urls.video_id(url))
-    place, video = F.col("place"), F.col("video_id")
-    read = placed.withColumn("near", pages.title_near(html, place)).withColumn("page_url", pages.page_url_near(html, place)).withColumn("owner", F.when(F.col("page_url").isNull() & video.isNotNull(), pages.data_channel(html, video)))
-    title = F.when((F.col("near") == "") & video.isNotNull(), pages.data_title(html, video)).otherwise(F.col("near"))
-    channel = F.when(F.col("page_url").isNotNull(), urls.channel_of_page(F.col("page_url"))).otherwise(F.coalesce("owner.id", F.lit("unknown")))
-    snapshot = F.coalesce(F.substring(html, F.greatest(F.lit(1), place - 199), place + 1500 - F.greatest(F.lit(0), place - 200)), F.lit(""))
-    extra = F.struct(pages.views_near(html, place).alias("view_count"), *(F.lit(None).cast(t).alias(n) for n, t in (("duration_secs", "int"), ("content_id_match", "boolean"), ("fingerprint_match_level", "string"), ("account_age_days", "int"))))
-    return read.select(
-        F.lit("facebook").alias("platform"), "url", title.alias("title"), channel.alias("channel_id"), F.coalesce("owner.name", F.lit("")).alias("channel_name"), snapshot.alias("snapshot_html"),
+    extra = F.struct(F.col("r.views").alias("view_count"), *(F.lit(None).cast(t).alias(n) for n, t in (("duration_secs", "int"), ("content_id_match", "boolean"), ("fingerprint_match_level", "string"), ("account_age_days", "int"))))
+    return found.select(
+        F.lit("facebook").alias("platform"), *(F.col(f"r.{c}").alias(c) for c in ("url", "title", "channel_id", "channel_name", "snapshot_html")),
         F.lit(run_ts).alias("detected_at"), F.col("query").alias("query_used"), extra.alias("extra"), (F.col("page_seq") * 100_000 + F.col("pos")).alias("seq"), *keep,
     )
 
