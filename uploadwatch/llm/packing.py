@@ -1,12 +1,14 @@
 """Packing (9): length buckets that waste the least padding, and batches within a token budget.
 
 The global histogram of token counts is exact: an entry per distinct length.  Dynamic programming over it
-finds the boundaries with the least total padding, near-linear in its entries, as best starts ascend; each document is padded to its bucket's boundary, and each bucket is cut,
-in order of length, into batches of as many documents as the budget holds.
+finds the boundaries with the least total padding, near-linear in its entries, as best starts ascend; each document is padded to
+its bucket's boundary, and each bucket is cut, in order of length, into batches of as many documents as the
+budget holds.
 
 Cases: null and empty texts have no tokens and pack into the first bucket as length 1; a document longer
-than the budget has a batch of its own; repeated rows each take a place; rows with a null id sort first;
-an empty table gives no rows.
+than the budget has a batch of its own; repeated rows each take a place; rows with a null id sort first; rows of
+one length and id are alike, so which of them comes first makes no difference; further columns are not read,
+also those with names of results; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -102,9 +102,40 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+def _places_sql(kind: str, pattern: str, group: int = 0, least: str = "true") -> str:
+    """doc_id, kind, rank, start, past of a pattern's matches; a group may leave out what stands before it."""
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT doc_id, '{kind}' AS kind, {secrets.KINDS.index(kind) if kind in secrets.KINDS else 9} AS rank, CAST(past - size AS BIGINT) AS start, CAST(past AS BIGINT) AS past FROM (
+  SELECT doc_id, length(shown[i]) AS size, length(inner_[i]) AS inside, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + list_sum(list_transform(whole[1:i], lambda g: length(g))) AS past FROM (
+    SELECT doc_id, string_split_regex(t, '{quoted}') AS gaps, regexp_extract_all(t, '{quoted}') AS whole, regexp_extract_all(t, '{quoted}', {group}) AS inner_, {'whole' if kind != 'user' else 'inner_'} AS shown FROM docs WHERE regexp_matches(t, '{quoted}')
+  ), unnest(range(1, len(whole) + 1)) AS u(i)) WHERE {least}"""
+
+
+#: No look-around: a bare key is a run of exactly 40 characters, and what stands before a user name is matched with it.
+SECRETS_SQL = f"""
+WITH docs AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+parts AS MATERIALIZED (
+  {_places_sql("assign", secrets.ASSIGN, 2, f"inside >= {secrets.LEAST_VALUE}")}
+  UNION ALL {_places_sql("access", secrets.ACCESS)}
+  UNION ALL {_places_sql("hex", secrets.HEX)}
+  UNION ALL {_places_sql("secret", "[A-Za-z0-9+/]+", 0, "size = 40")}
+  UNION ALL {_places_sql("endpoint", secrets.ENDPOINT)}
+  UNION ALL {_places_sql("user", "(?i)(?:^|[^A-Za-z0-9])(" + secrets.USER.split(")", 2)[2] + ")", 1)}),
+linked AS (
+  SELECT x.* FROM parts x WHERE kind = 'secret' AND EXISTS (SELECT 1 FROM parts y WHERE y.doc_id = x.doc_id AND y.kind = 'access' AND abs(y.start - x.start) <= {secrets.SCOPE})
+  UNION ALL SELECT x.* FROM parts x WHERE kind = 'endpoint' AND EXISTS (SELECT 1 FROM parts y WHERE y.doc_id = x.doc_id AND y.kind IN ('access', 'user') AND abs(y.start - x.start) <= {secrets.SCOPE})
+    AND EXISTS (SELECT 1 FROM parts y WHERE y.doc_id = x.doc_id AND y.kind IN ('secret', 'assign') AND abs(y.start - x.start) <= {secrets.SCOPE})),
+found AS (SELECT *, true AS base FROM parts WHERE rank < 3 UNION ALL SELECT *, false FROM linked),
+listed AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (NOT base) AS n_linked,
+  string_agg(kind || ':' || start || ':' || past, ',' ORDER BY start, rank, past) FILTER (base) AS base, string_agg(kind || ':' || start || ':' || past, ',' ORDER BY start, rank, past) AS spans FROM found GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked
+FROM docs LEFT JOIN listed USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_minhash_dedup, op2_topk_search, op3_token_counts, op4_decontamination, op5_chat_formatting, op6_toxicity, op7_license_scan, op8_token_store, op9_packing, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": DEDUP_SQL, "op2_topk_search": TOPK_SQL, "op4_decontamination": LEAKS_SQL}
+    return {"op1_minhash_dedup": DEDUP_SQL, "op2_topk_search": TOPK_SQL, "op4_decontamination": LEAKS_SQL, "op10_secret_scan": SECRETS_SQL}
