@@ -19,7 +19,7 @@ from collections.abc import Callable
 import numpy as np
 
 PIECE_LIMIT = 128  # longer pieces are worked out each time
-CACHE_LIMIT = 1_500_000  # entries of a dictionary, some 150 bytes each
+CACHE_LIMIT = 600_000  # entries of a dictionary, some 150 bytes each
 _ODD = "\u180e\u200b\u2060\ufeff"  # white space to some Unicode versions only
 SAFE_CUT = re.compile(rf"(?<=[^\s{_ODD}]) (?=[^\s{_ODD}])")
 
@@ -47,13 +47,14 @@ class Kept(dict):
         super().__init__()
         self.work_out = work_out
         self.last: dict = {}
+        self.limit = CACHE_LIMIT
 
     def __missing__(self, key: str):
         value = self.last.get(key)
         if value is None:
             value = self.work_out(key)
         if len(key) <= PIECE_LIMIT:
-            if len(self) >= CACHE_LIMIT // 2:
+            if len(self) >= self.limit // 2:
                 self.last = dict(self)
                 self.clear()
             self[key] = value

@@ -41,6 +41,7 @@ END_ID = 0
 WINDOW, LEAST, MASK, MOST = 16, 64, 0xFF, 4096  # ids: hash window, least chunk, one cut in 256, longest chunk
 ROWS = 256
 PART, FAN = 1 << 20, 1024  # ids of a leaf (each document has one at least), nodes below a node
+WORDS = 1_500_000  # words whose ids a worker remembers; encoding takes most of the time
 SEEN_LIMIT = 200_000  # addresses that a map task remembers as sent
 
 
@@ -87,6 +88,8 @@ def _rows(path: str):
 
         source, number = codec(path), TaskContext.get().partitionId() << 40 if TaskContext.get() else 0
         width, end = source.dtype.itemsize, source.pack([END_ID])
+        if source.map is not None:
+            source.map.words.limit = WORDS
         seen: set[bytes] = set()
         # A few hundred documents at a time: the hashes of a whole batch would take 30 bytes for each of its ids.
         for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
