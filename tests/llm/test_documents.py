@@ -350,3 +350,55 @@ def test_many_lines_without_licence_words(spark):
     rows = [(1, "\n".join(f"x = {k}" for k in range(20_000)) + "\nReleased under the MIT License\n" + "\n" * 20_000), (2, "\n".join(["Released under the MIT License"] * 3000))]
     got = {r.doc_id: (r.families, r.n_confirmed) for r in licenses.licenses(docs(spark, rows)).collect()}
     assert got == {1: ("mit", 1), 2: ("mit", 3000)}
+
+
+def test_license_classes_by_plain_arithmetic(spark):
+    import math
+
+    rng = random.Random(8)
+    said = [t for ts in licenses.TEMPLATES.values() for t in ts] + licenses.OTHER + [f.replace("#", "Homegrown") for f in licenses.UNKNOWN]
+    words = sorted({w for t in said for w in t.split()})
+    paragraphs = said + [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 25))) for _ in range(80)]
+    frame = docs(spark, list(enumerate(paragraphs)))
+    weights, bias = licenses.fit(frame)
+    table = dict(weights)
+    for r in licenses.classify(frame.selectExpr("text as paragraph"), (weights, bias)).collect():
+        held = set(licenses.paragraph_features(r.paragraph))
+        z = [b + sum(table[f][c] for f in held if f in table) for c, b in enumerate(bias)]
+        best = max(range(len(z)), key=lambda c: z[c])
+        probability = 1 / sum(math.exp(x - z[best]) for x in z)
+        assert abs(r.probability - probability) < 1e-6
+        assert r.family == (licenses.CLASSES[best] if probability >= licenses.THRESHOLD else "unknown")
+        share = max((len(held.intersection(f)) / len(f) for f in map(licenses.paragraph_features, licenses.TEMPLATES.get(licenses.CLASSES[best], []))), default=0)
+        assert r.confirmed == (best > 1 and probability >= licenses.THRESHOLD and share >= licenses.CONFIRM)
+
+
+def test_toxicity_scores_by_plain_arithmetic(spark):
+    import math
+
+    import xxhash
+
+    rng = np.random.default_rng(2)
+    at = np.sort(rng.choice(1 << toxicity.BITS, 200_000, replace=False)).astype(np.int32)
+    values, bias = rng.normal(0, 0.3, len(at)), -0.4
+    table = dict(zip(at.tolist(), values.astype(np.float32).tolist()))
+    rows = [(1, "one two three two"), (2, None), (3, ""), (4, "ONE, two; Three"), (5, " ".join(f"w{k % 40}" for k in range(500))), (6, "é é x"), (6, "é é x")]
+    full = (1 << 64) - 1
+    pair, skip = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+    got = sorted((r.doc_id, r.score) for r in toxicity.score(docs(spark, rows), (at, values, bias)).collect())
+    wanted = []
+    for i, t in rows:
+        words = [xxhash.xxh64_intdigest(w) for w in re.findall(rb"[a-z0-9\x80-\xff]+", lower(t).encode())]
+        marks = {(w * pair) & full for w in words} | {((a * pair + b) * skip) & full for a, b in zip(words, words[1:])} | {((a * skip + b) * pair) & full for a, b in zip(words, words[2:])}
+        total = bias + sum(table.get(m, 0.0) for m in {x >> (64 - toxicity.BITS) for x in marks})
+        wanted.append((i, 1 / (1 + math.exp(-total))))
+    assert all(i == j and abs(a - b) < 1e-6 for (i, a), (j, b) in zip(got, sorted(wanted), strict=True))
+
+
+def test_toxicity_of_repeated_ids(spark):
+    """Of several texts of one labelled id the same is learned from, however rows are dealt."""
+    rows = [(i, f"word{i % 7} " + ("vile " if i % 2 else "kind ") + f"filler{i % 3}") for i in range(60)] + [(i, f"second text of {i} vile") for i in range(0, 60, 3)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    first = sorted((r.doc_id, r.score) for r in toxicity.toxicity(docs(spark, rows), labels).collect())
+    again = sorted((r.doc_id, r.score) for r in toxicity.toxicity(docs(spark, rows[::-1]).repartition(5), labels).collect())
+    assert first == again and len({s for _, s in first}) > 1
