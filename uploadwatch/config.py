@@ -25,6 +25,22 @@ SYSTEM_PATHS = (
 # Hosts of messenger and short-video profiles.
 TELEGRAM_HOSTS = ("t.me", "telegram.me", "www.t.me")
 TIKTOK_HOSTS = ("www.tiktok.com", "tiktok.com")
+# Patterns of links to an uploader's page (numbered profile, page, group; then a name), of labels and of texts.
+OWNER_LINKS = (
+    r'href="((?:https://www\.facebook\.com)?/profile\.php\?id=[0-9]+)"', r'href="((?:https://www\.facebook\.com)?/pages/[^"?]{5,})"', r'href="((?:https://www\.facebook\.com)?/groups/[0-9]+/?)"',
+)
+NAME_LINK = r'href="/([A-Za-z0-9][A-Za-z0-9._-]{2,})/?(?:\?[^"]*)?"'
+LABEL, SHOWN = r'(?:aria-label|title)="([^"]{5,200})"', r">([^<]{5,200})<"
+# Patterns of view counts, in words of two languages and in data.
+VIEWS_ENGLISH, VIEWS_LOCAL = r"([\d,]+(?:\.\d+)?)\s*([KkMm])?\s*(?:views?|penonton|ditonton)", r"([\d]+(?:[,.]\d+)?)\s*(rb|jt)?\s*Tayangan"
+VIEWS_DATA = (r'"play_count"\s*:\s*\{"count"\s*:\s*(\d+)', r'"video_view_count"\s*:\s*\{"count"\s*:\s*(\d+)', r'"view_count"\s*:\s*(\d+)')
+# Patterns of titles, owners and ids in data of pages.
+DATA_TITLES = (r'"title"\s*:\s*"([^"]{5,400})"', r'"save_description"\s*:\s*"([^"]{5,400})"', r'"accessibility_label"\s*:\s*"([^"]{5,400})"')
+DATA_OWNER, DATA_NAME = r'"id"\s*:\s*"([0-9]{5,20})"', r'"name"\s*:\s*"([^"]{2,80})"'
+SOCIAL_IDS = (r"fb://(?:page|profile|group)/([0-9]+)", r'"pageID"\s*:\s*"([0-9]+)"', r'"entity_id"\s*:\s*"([0-9]+)"')
+CHANNEL_IDS = (r'"channelId"\s*:\s*"(UC[a-zA-Z0-9_-]{22})"', r"/channel/(UC[a-zA-Z0-9_-]{22})")
+OG_TITLE = r'<meta\s+property="og:title"\s+content="([^"]+)"'
+NEXT_DATA = r'(?s)<script\s+id="__NEXT_DATA__"[^>]*>\s*(\{.*?\})\s*</script>'
 # The most points of each signal, and the least score of each verdict.
 WEIGHTS = {"title_keyword_match": 25, "content_id_watermark": 30, "stream_key_fingerprint": 20, "offender_repeat_history": 15, "engagement_anomaly": 10}
 VERDICTS = (("confirmed", 80), ("likely", 60), ("possible", 25))

@@ -31,16 +31,21 @@ def social_detections(crawled: DataFrame, run_ts: str, max_results: int | None =
     unknown = F.struct(F.lit("unknown").alias("id"), F.lit("").alias("name"))
 
     def read(url: Column) -> Column:
-        video = urls.video_id(url)
-
-        def settled(place: Column, near: Column, page: Column, owner: Column) -> Column:
-            title = F.when((near == "") & video.isNotNull(), pages.data_title(html, video)).otherwise(near)
+        def settled(video: Column, place: Column, near: Column, page: Column, owner: Column, data: Column) -> Column:
             channel = F.when(page.isNotNull(), urls.channel_of_page(page)).otherwise(owner["id"])
             snapshot = F.coalesce(F.substring(html, F.greatest(F.lit(1), place - 199), place + 1500 - F.greatest(F.lit(0), place - 200)), F.lit(""))
+            title = F.when((near == "") & video.isNotNull(), pages.title_in(data)).otherwise(near)
             return F.struct(url.alias("url"), title.alias("title"), channel.alias("channel_id"), owner["name"].alias("channel_name"), snapshot.alias("snapshot_html"), pages.views_near(html, place).alias("views"))
 
-        owned = lambda page: F.when(page.isNull() & video.isNotNull(), pages.data_channel(html, video)).otherwise(unknown)
-        return bound(pages.link_place(html, url), lambda place: bound(pages.title_near(html, place), lambda near: bound(pages.page_url_near(html, place), lambda page: bound(owned(page), lambda owner: settled(place, near, page, owner)))))
+        def owned(video: Column, place: Column, near: Column, page: Column, data: Column) -> Column:
+            owner = F.when(page.isNull() & video.isNotNull(), pages.channel_in(data, video)).otherwise(unknown)
+            return bound(owner, lambda found: settled(video, place, near, page, found, data))
+
+        # The data are looked for only where the link lacks something.
+        data = lambda video, near, page: F.when(((near == "") | page.isNull()) & video.isNotNull(), pages.data_of(html, video))
+        paged = lambda video, place, near: bound(pages.page_url_near(html, place), lambda page: bound(data(video, near, page), lambda held: owned(video, place, near, page, held)))
+        titled = lambda video, place: bound(pages.title_near(html, place), lambda near: paged(video, place, near))
+        return bound(urls.video_id(url), lambda video: bound(pages.link_place(html, url, video), lambda place: titled(video, place)))
 
     # All is read from the page before its links become rows, so rows do not carry pages.
     found = crawled.select("query", F.col("seq").alias("page_seq"), *keep, F.posexplode(F.transform(pages.video_urls(html), read)).alias("pos", "r"))
