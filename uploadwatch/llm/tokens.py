@@ -32,6 +32,7 @@ from uploadwatch.llm.common import map_batches, text_bytes
 DELTA = np.dtype("<i2")
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
+WORDS = 1_500_000  # words whose tables a worker remembers; working out new ones takes most of the time
 
 
 class PrefixCounter:
@@ -59,6 +60,7 @@ class PrefixCounter:
         self.longest = max(map(len, self.number))
         self.fits: dict[tuple[int, int], bool] = {}
         self.map = PieceMap(lambda w: _differences(self.word(w)), lambda t: _differences(self.checked(t)), "|".join([_CONTEXT, *map(re.escape, source.special)]))
+        self.map.words.limit = WORDS
         self.by_word = Kept(self.word)
 
     def compatible(self, left: int, right: int) -> bool:
