@@ -36,6 +36,18 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def pieces(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """data, whose words stand between single-byte blanks, in parts of about ``size`` bytes that cut no word."""
+    start = 0
+    while len(data) - start > size:
+        cut = data.find(b" ", start + size)
+        if cut < 0:
+            break
+        yield data[start:cut]
+        start = cut
+    yield data[start:] if start else data
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """One Arrow record batch in, one out."""
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uploadwatch.llm import chat, decontam, dedup, licenses, packing, secrets, store, tokens, topk, toxicity
+from uploadwatch.llm import chat, decontam, dedup, lexical, licenses, packing, secrets, store, tokens, topk, toxicity
 from uploadwatch.scratch import scratch_path
 
 
@@ -60,6 +60,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 TOPK_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
@@ -132,10 +136,24 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM docs LEFT JOIN listed USING (doc_id)
 """
 
+RANKED_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '{lexical.TERM}')) AS term FROM documents),
+tf AS MATERIALIZED (SELECT r, doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+sizes AS MATERIALIZED (SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY r),
+every AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS total FROM sizes),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, every GROUP BY term, n_docs),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER.format("text")}, '{lexical.TERM}')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+scored AS (
+  SELECT item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // total))))::BIGINT AS score
+  FROM asked JOIN w USING (term) JOIN tf USING (term) JOIN sizes USING (r), every GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= {lexical.K}
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_topk_search, op3_token_counts, op4_decontamination, op5_chat_formatting, op6_toxicity, op7_license_scan, op8_token_store, op9_packing, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_topk_search, op3_token_counts, op4_decontamination, op5_chat_formatting, op6_toxicity, op7_license_scan, op8_token_store, op9_packing, op10_secret_scan, op11_ranked_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": DEDUP_SQL, "op2_topk_search": TOPK_SQL, "op4_decontamination": LEAKS_SQL, "op10_secret_scan": SECRETS_SQL}
+    return {"op1_minhash_dedup": DEDUP_SQL, "op2_topk_search": TOPK_SQL, "op4_decontamination": LEAKS_SQL, "op10_secret_scan": SECRETS_SQL, "op11_ranked_search": RANKED_SQL}
