@@ -36,6 +36,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote and nothing will read again."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        drop_path(df.sparkSession, path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
