@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from uploadwatch.llm import lexical
+from uploadwatch.llm import lexical, spelling
 
 DOCS = "doc_id bigint, text string, term string, score string"  # the last two clash with names used inside
 ITEMS = "item_id bigint, text string, doc_id string"
@@ -81,3 +81,66 @@ def test_bounds_leave_out_blocks(spark):
     weights = np.array([lexical.weight(6000, 6000), lexical.weight(6000, 90)], np.int64)
     assert group.search(np.array([0, 1]), weights, np.zeros(2, np.int64), best) <= 3
     assert (best.doc[:, 0] < 90).all() and len(best.score) == 20
+
+
+def edits_of(word, letters):
+    for i in range(len(word) + 1):
+        yield from (word[:i] + c + word[i:] for c in letters)
+        if i < len(word):
+            yield word[:i] + word[i + 1 :]
+            yield from (word[:i] + c + word[i + 1 :] for c in letters)
+
+
+def grouped(docs):
+    counts = Counter()
+    for i, t in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", low(t)):
+            h = 1 if i is None else zlib.crc32(f"{i}:{run}".encode())
+            counts[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 199 == 0 else run] += 1
+    n = {w: k for w, k in counts.items() if len(w) >= 6 and k >= 5}
+    letters, forms = sorted({c for w in n for c in w}), {}
+    near = {w: {x for x in edits_of(w, letters) if x in n and x != w} for w in n}
+    for w in n:
+        best = min(near[w], key=lambda x: (-n[x], x), default=None)
+        forms[w] = best if best is not None and n[best] >= 5 * n[w] else None
+
+    def root(w):
+        while forms[w] is not None:
+            w = forms[w]
+        return w
+
+    return Counter((w, forms[w], root(w), n[w], len(near[w]), n.get(forms[w])) for w in n)
+
+
+def test_variants_by_brute_force(spark):
+    rng = random.Random(3)
+    base, letters = ["abcdef", "handel", "straße", "bananas", "ÉCOLES", "nañana", "aaaaaa", "q" * 300], "abcdezßÀÿ"
+    words = list(base)
+    for w in base:
+        for _ in range(25):
+            words.append(rng.choice(list(edits_of(low(w), letters))))
+            words.append(rng.choice(list(edits_of(words[-1], letters))))
+    spread = [w for k, w in enumerate(words) for _ in range(rng.choice([4, 5, 7, 30, 200]) if k >= len(base) else 1500 - 150 * (k % 3))]
+    spread += [w for n in (5, 25, 125, 625) for w in ["x" * 7 + "y" * (n == 25) + "yz" * (n == 125) + "yzz" * (n == 625)] * n]  # a chain of forms
+    rng.shuffle(spread)
+    size = len(spread) // 200
+    docs = [(k, "".join((w.upper() if rng.random() < 0.1 else w) + rng.choice([" ", ", ", "1", "œ", "\n"]) for w in spread[k * size : (k + 1) * size])) for k in range(201)]
+    docs += [(7, docs[7][1]), (7, docs[7][1]), (None, docs[8][1]), (None, "bananas " * 9), (300, None), (301, ""), (302, "a b 7"), (303, "handel " * 300_000)]
+    got = spelling.variants(spark.createDataFrame([(*d, "x", "y") for d in docs], DOCS).repartition(3))
+    assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"]
+    wanted = grouped(docs)
+    assert any(f is not None and r != f for _, f, r, *_ in wanted) and any(k > 3 for *_, k, _ in wanted)
+    assert Counter(map(tuple, got.collect())) == wanted
+
+
+def test_variants_of_nothing(spark):
+    assert spelling.variants(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_one_edit_leaves_a_band(spark):
+    rng = random.Random(5)
+    for _ in range(2000):
+        word = "".join(rng.choice(spelling.LETTERS) for _ in range(rng.randrange(6, 12)))
+        other = rng.choice(list(edits_of(word, spelling.LETTERS)))
+        a, b = spelling.bands(word), spelling.bands(other)
+        assert any(x == y for x, y in zip(a, b)) and sum(bin(x ^ y).count("1") for x, y in zip(a, b)) <= 2

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uploadwatch.llm import chat, decontam, dedup, lexical, licenses, packing, secrets, store, tokens, topk, toxicity
+from uploadwatch.llm import chat, decontam, dedup, lexical, licenses, packing, secrets, spelling, store, tokens, topk, toxicity
 from uploadwatch.scratch import scratch_path
 
 
@@ -64,6 +64,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 TOPK_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
@@ -150,10 +154,32 @@ scored AS (
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= {lexical.K}
 """
 
+#: DuckDB has no crc32; its table follows from the polynomial, and a string's bytes from its hexadecimal form.
+_CRC_TABLE = "(SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) FROM range(256) AS u(i))"
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, {1}[1 + (xor(c, b) & 255)])), 4294967295)"
+
+#: Words one edit apart share the pattern that a left-out or blotted letter leaves.
+VARIANTS_SQL = rf"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT {_CRC_TABLE} AS t),
+runs AS MATERIALIZED (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= {spelling.SHORTEST} GROUP BY ALL),
+marked AS MATERIALIZED (SELECT run, n, coalesce({_CRC.format("doc_id || ':' || run", "t")}, 1) AS h FROM runs, crc),
+said AS (SELECT CASE WHEN h % {spelling.PERIOD} = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 : length(run)] ELSE run END AS word, n FROM marked),
+words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM said WHERE length(word) >= {spelling.SHORTEST} GROUP BY word HAVING sum(n) >= {spelling.OFTEN}),
+cut AS MATERIALIZED (SELECT DISTINCT word, n, word[1 : i] || word[i + 2 : length(word)] AS rest FROM words, unnest(range(length(word))) AS u(i)),
+blot AS MATERIALIZED (SELECT word, n, word[1 : i] || '*' || word[i + 2 : length(word)] AS rest FROM words, unnest(range(length(word))) AS u(i)),
+pairs AS MATERIALIZED (
+  SELECT a.word AS word, b.word AS near, b.n AS near_n FROM blot a JOIN blot b ON a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+near AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+forms AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= {spelling.RATIO} * n THEN near END AS form, CASE WHEN near_n >= {spelling.RATIO} * n THEN near_n END AS form_n FROM words LEFT JOIN near USING (word)),
+walk(word, goal) AS (SELECT word, word FROM forms UNION SELECT walk.word, form FROM walk JOIN forms ON forms.word = goal WHERE form IS NOT NULL)
+SELECT f.word, f.form, goal AS root, f.n, f.n_near, f.form_n FROM walk JOIN forms f USING (word) JOIN forms e ON e.word = goal WHERE e.form IS NULL
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_topk_search, op3_token_counts, op4_decontamination, op5_chat_formatting, op6_toxicity, op7_license_scan, op8_token_store, op9_packing, op10_secret_scan, op11_ranked_search)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_topk_search, op3_token_counts, op4_decontamination, op5_chat_formatting, op6_toxicity, op7_license_scan, op8_token_store, op9_packing, op10_secret_scan, op11_ranked_search, op12_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": DEDUP_SQL, "op2_topk_search": TOPK_SQL, "op4_decontamination": LEAKS_SQL, "op10_secret_scan": SECRETS_SQL, "op11_ranked_search": RANKED_SQL}
+    return {"op1_minhash_dedup": DEDUP_SQL, "op2_topk_search": TOPK_SQL, "op4_decontamination": LEAKS_SQL, "op10_secret_scan": SECRETS_SQL, "op11_ranked_search": RANKED_SQL, "op12_spelling_variants": VARIANTS_SQL}
