@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from uploadwatch.llm import lexical, spelling
+from uploadwatch.llm import attention, lexical, lm, spelling
 
 DOCS = "doc_id bigint, text string, term string, score string"  # the last two clash with names used inside
 ITEMS = "item_id bigint, text string, doc_id string"
@@ -144,3 +144,103 @@ def test_one_edit_leaves_a_band(spark):
         other = rng.choice(list(edits_of(word, spelling.LETTERS)))
         a, b = spelling.bands(word), spelling.bands(other)
         assert any(x == y for x, y in zip(a, b)) and sum(bin(x ^ y).count("1") for x, y in zip(a, b)) <= 2
+
+
+def counted(docs):
+    """What the base score needs, and its parts for each text."""
+    held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in docs]
+    words = [[*re.findall(r"[^\x20\x09-\x0D]+", low(t)), None] for _, t in docs]
+    c = Counter(w for own, out, (i, _) in zip(words, held, docs) if not out and i is not None for w in own)
+    n, v = sum(c.values()), len(c)
+    return [(i, out, len(own), sum(w in c for w in own), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in own)) for (i, _), out, own in zip(docs, held, words)]
+
+
+def spoken(n=160):
+    rng = random.Random(12)
+    parts = ["tion", "er", "ing", "é", "ou", "ba", "zz", "the", "an"]
+    words = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(300)]
+    docs = [(i, "".join(rng.choice(words[: 60 + 240 * (i % 2)]) + rng.choice([" ", " ", "\n", "\t\x0b", "\xa0"]) for _ in range(rng.choice([1, 8, 40, 150])))) for i in range(n)]
+    return docs + [(3, docs[3][1]), (3, "other words"), (None, "one two three"), (500, None), (501, ""), (502, " \n "), (503, "Word " * 5000 + "longer " + "x" * 3000), (504, "<|endoftext|> The\x00END")]
+
+
+def test_base_scores_and_chunks(spark):
+    docs = spoken()
+    frame = spark.createDataFrame([(*d, "x", "y") for d in docs], DOCS).repartition(3)
+    runs = [lm.scores(frame, sample=150, **cut).collect() for cut in ({}, {"chunk": 700, "piece": 120})]
+    for got in runs:
+        assert got[0].__fields__ == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        key = lambda r: (r[0] is None, r[0] or 0, r[2], r[3], r[-1])
+        for have, want in zip(sorted((tuple(r[:6]) for r in got), key=key), sorted(counted(docs), key=key), strict=True):
+            assert have[:5] == want[:5] and have[5] == pytest.approx(want[5], rel=1e-9)
+        assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+    same = [r.score for r in runs[0] if (r.doc_id, r.n_tokens) == (3, next(x for x in counted(docs) if x[0] == 3)[2])]
+    assert len(same) == 2 and same[0] == pytest.approx(same[1])
+
+
+def test_held_out_texts_score_better(spark, sf_dir):
+    got = lm.scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), sample=3000).filter("held_out").collect()
+    assert sum(r.score for r in got) > 0.98 * sum(r.base_score for r in got) and sum(r.score > r.base_score for r in got) > 0.8 * len(got)
+
+
+def test_scores_of_nothing(spark):
+    assert lm.scores(spark.createDataFrame([], DOCS)).count() == 0
+    alone = lm.scores(spark.createDataFrame([(None, "a b", "x", "y")], DOCS)).collect()
+    assert [tuple(r[:6]) for r in alone] == [(None, False, 3, 0, 0, 0.0)] and alone[0].score < 0
+
+
+def one_by_one(net, vocabulary, stream):
+    """The log probability of each id after the first, one place at a time."""
+    out, head = [], attention.WIDTH // attention.HEADS
+    x = net["embed"][vocabulary.entry[stream[:-1]]].astype(np.float64)
+    q, k, v = np.split(x @ net["qkv"], 3, 1)
+    for i in range(len(x)):
+        first = max(0, (i // attention.BLOCK - 1) * attention.BLOCK)
+        mixed = []
+        for h in range(attention.HEADS):
+            part = slice(h * head, (h + 1) * head)
+            s = np.array([q[i, part] @ k[j, part] / head**0.5 + net["bias"][h, i - j] for j in range(first, i + 1)])
+            w = np.exp(s - s.max())
+            mixed.append((w / w.sum()) @ v[first : i + 1, part])
+        up = np.maximum((x[i] + np.concatenate(mixed) @ net["out"]) @ net["up"] + net["shift"], 0)
+        logits = up @ net["down"] + net["base"]
+        logits -= np.log(np.exp(logits - logits.max()).sum()) + logits.max()
+        out.append(logits[vocabulary.leaves] + vocabulary.log_share)
+        assert np.exp(out[-1]).sum() == pytest.approx(1, abs=1e-4)
+    return [float(o[y]) for o, y in zip(out, stream[1:])]
+
+
+def test_windows_score_each_id_once():
+    rng = np.random.default_rng(2)
+    streams = [rng.integers(0, 300, n) for n in (2, 17, 33, 200, 3, 16)]
+    counts = np.bincount(np.concatenate(streams), minlength=400).astype(float)
+    vocabulary = attention.Vocabulary.of(counts, streams)
+    net, losses = attention.fit(streams, vocabulary, 60)
+    assert losses[-1] < 0.7 * losses[0]
+    attention_batch, attention.SCORED_AT_ONCE = attention.SCORED_AT_ONCE, 5
+    try:
+        got = lm.Model(net, vocabulary, 399, 0.0).of_streams(streams)
+    finally:
+        attention.SCORED_AT_ONCE = attention_batch
+    assert got == pytest.approx(np.concatenate([one_by_one(net, vocabulary, s) for s in streams]), abs=2e-3)
+
+
+def test_gradients_by_differences():
+    rng = np.random.default_rng(0)
+    net = {name: value.astype(np.float64) for name, value in attention.fresh(1).items()}
+    entry, classes, opens, counted_ = rng.integers(0, 50, (6, 16)), rng.integers(0, attention.CLASSES, (6, 16)), np.array([1, 0, 0, 1, 0, 1], bool), rng.random((6, 16)) < 0.9
+    _, found = attention.gradients(net, entry, classes, opens, counted_)
+    for name, value in net.items():
+        flat, own = value.reshape(-1), found[name].reshape(-1)
+        for i in rng.choice(np.flatnonzero(np.abs(own) > 1e-6), 6):
+            kept, sides = flat[i], []
+            for e in (1e-5, -1e-5):
+                flat[i] = kept + e
+                sides.append(attention.gradients(net, entry, classes, opens, counted_)[0])
+            flat[i] = kept
+            assert (sides[0] - sides[1]) / 2e-5 == pytest.approx(own[i], rel=1e-3, abs=1e-8)
+
+
+def test_mixing_weight():
+    by_model, frequency = np.log([0.4, 0.01, 0.5]), np.array([0.01, 0.3, 0.02])
+    best = max(np.linspace(0.01, 0.99, 981), key=lambda w: np.log((1 - w) * np.exp(by_model) + w * frequency).sum())
+    assert lm.mixing_weight(by_model, frequency, 2000) == pytest.approx(best, abs=2e-3)

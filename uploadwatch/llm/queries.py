@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uploadwatch.llm import chat, decontam, dedup, lexical, licenses, packing, secrets, spelling, store, tokens, topk, toxicity
+from uploadwatch.llm import chat, decontam, dedup, lexical, licenses, lm, packing, secrets, spelling, store, tokens, topk, toxicity
 from uploadwatch.scratch import scratch_path
 
 
@@ -68,6 +68,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 TOPK_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
@@ -178,7 +182,7 @@ SELECT f.word, f.form, goal AS root, f.n, f.n_near, f.form_n FROM walk JOIN form
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_topk_search, op3_token_counts, op4_decontamination, op5_chat_formatting, op6_toxicity, op7_license_scan, op8_token_store, op9_packing, op10_secret_scan, op11_ranked_search, op12_spelling_variants)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_topk_search, op3_token_counts, op4_decontamination, op5_chat_formatting, op6_toxicity, op7_license_scan, op8_token_store, op9_packing, op10_secret_scan, op11_ranked_search, op12_spelling_variants, op13_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
