@@ -279,6 +279,35 @@ def test_late_pages_of_a_stream(spark, tmp_path):
     assert [r.url[-1] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["1"]
 
 
+def test_bad_pages_cost_themselves(spark, recwarn):
+    from uploadwatch.sources import crawl
+
+    card = '<div class="bstar-video-card"><a href="/video/{0}"><img alt="Film {0}"></a></div>'
+    pages = [("q1", '<a href="http://[x">?</a>' + card.format(10**9), 7), ("q1", card.format(10**9 + 1), 1 << 50), ("q2", None, 3), ("q2", "", 4), (None, card.format(10**9 + 2), 5)]
+    social = [("q1", None, 1), ("q3", '<a href="/reel/1234567/" title="Some title">x</a>' * 3, 2)]
+    frames = {p: spark.createDataFrame(rows, "query string, html string, seq bigint") for p, rows in (("bilibili", pages), ("facebook", social))}
+    found, lost = crawl.crawl(frames, "now", ["facebook", "bilibili"])
+    assert [(r.seq, r.title) for r in found.orderBy("seq").collect()] == [(0, "Some title"), (1, "Film 1000000002"), (2, "Film 1000000000"), (3, "Film 1000000001")]
+    told = sorted(tuple(r) for r in lost.collect())
+    assert [t[:3] for t in told] == [("bilibili", "q1", 7), ("bilibili", "q2", 3), ("facebook", "q1", 1)] and "http://[x" in told[0][3] and told[1][3] == crawl.NO_PAGE
+    assert found.columns == [f.split()[0] for f in ("platform", "url", "title", "channel_id", "channel_name", "snapshot_html", "detected_at", "query_used", "extra", "seq")]
+
+
+def test_failing_queries_cost_themselves(spark, monkeypatch, recwarn):
+    from uploadwatch.sources import crawl
+
+    def fragile(pages, run_ts, max_results=None):
+        checked = pages.withColumn("html", F.when(F.col("html") == "bad", F.raise_error(F.concat(F.lit("cannot read "), "query"))).otherwise(F.col("html")))
+        return crawl.social_detections(checked, run_ts, max_results)
+
+    monkeypatch.setitem(crawl.PLATFORMS, "fragile", fragile)
+    good = '<a href="/reel/12345{0:02d}/" title="Title {0}">x</a>'
+    rows = [(f"q{k}", "bad" if k in (3, 8) else good.format(k), k) for k in range(12)]
+    found, lost = crawl.crawl({"fragile": spark.createDataFrame(rows, "query string, html string, seq bigint")}, "now", ["fragile"])
+    assert sorted(r.query_used for r in found.collect()) == sorted(f"q{k}" for k in range(12) if k not in (3, 8))
+    assert sorted((r.platform, r.query, r.page_seq) for r in lost.collect()) == [("fragile", "q3", None), ("fragile", "q8", None)] and all(r.message for r in lost.collect())
+
+
 def test_failing_platform(spark, monkeypatch, recwarn):
     from uploadwatch.sources import crawl
 
@@ -289,7 +318,7 @@ def test_failing_platform(spark, monkeypatch, recwarn):
     page = spark.createDataFrame([("q", '<a href="/reel/1234567/" title="Some title">x</a>', 1)], "query string, html string, seq bigint")
     errors = []
     found = crawl.crawl_all({"broken": page, "facebook": page}, "now", ["broken", "facebook"], errors=errors).collect()
-    assert [r.title for r in found] == ["Some title"] and errors == ["broken: ValueError: no page"]
+    assert [r.title for r in found] == ["Some title"] and errors == ["broken, query 'q': ValueError: no page"]
     assert crawl.crawl_all({"facebook": page}, "now", ["bilibili"]).count() == 0
 
 

@@ -17,8 +17,8 @@ DATA = '<a href="/reel/4040404/?y"> </a>' + "-" * 1200 + r'{"open":"\/reel\/4040
 
 
 def found(spark, html):
-    rows = crawl.social_detections(spark.createDataFrame([("q", html, 3)], "query string, html string, seq bigint"), "now").orderBy("seq").collect()
-    return [(r.url, r.title, r.channel_id, r.channel_name, r.extra.view_count, r.seq) for r in rows]
+    rows = crawl.social_detections(spark.createDataFrame([("q", html, 3)], "query string, html string, seq bigint"), "now").filter("failure is null").orderBy("place").collect()
+    return [(r.url, r.title, r.channel_id, r.channel_name, r.extra.view_count, r.place.page_seq * 100_000 + r.place.pos) for r in rows]
 
 
 def test_result_page(spark):

@@ -17,8 +17,8 @@ def column(spark, values, make, kind="string"):
 
 def test_canonical_titles(spark):
     cases = {
-        "VIDIO Premium": "vidio premium", "v1d10": "vidio", "$treaming": "", "$ecret": "secret", "Liga Champions 1080p HD": "liga champions", "Nonton Sinetron Gratis Live": "sinetron",
-        "ＶＩＤＩＯ": "vidio", "vidio.com/premium!": "vidio com premiumi", "|iga": "liga", "   ": "", "": "", "café x": "caf x", "ﬁlm": "film", None: "",
+        "VIDIO Premium": "vidio premium", "v1d10": "vidio", "$treaming": "", "$ecret": "secret", "Serie Malam 720p HD": "serie malam", "Streaming Kisah Hujan Full": "kisah hujan",
+        "ＶＩＤＩＯ": "vidio", "kanal.tv/sore!": "kanal tv sorei", "|iga": "liga", "   ": "", "": "", "café x": "caf x", "ﬁlm": "film", None: "",
     }
     assert column(spark, list(cases), text.canonical) == list(cases.values())
 

@@ -187,7 +187,7 @@ _VIEWS_SQL = "CASE page_id % 4 WHEN 0 THEN CAST(page_id * 1000 AS BIGINT) WHEN 1
 )
 def page_detections(spark, sf_dir):
     found = crawl.social_detections(adapters.result_pages(spark, sf_dir), RUN_TS)
-    return found.select("url", "title", "channel_id", F.col("extra.view_count").alias("view_count"), "query_used", "seq")
+    return found.select("url", "title", "channel_id", F.col("extra.view_count").alias("view_count"), "query_used", (F.col("place.page_seq") * 100_000 + F.col("place.pos")).alias("seq"))
 
 
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CAST(doc_id * 1000 AS BIGINT) WHEN 1 THEN CAST(doc_id AS BIGINT) WHEN 2 THEN CAST(doc_id * 1000 + 500 AS BIGINT) END AS views FROM documents")
@@ -221,7 +221,22 @@ def card_detections(spark, sf_dir):
     )
     pages = adapters.table(spark, sf_dir, "pages").select(F.lit("q").alias("query"), html.alias("html"), F.col("page_id").alias("seq"))
     found = crawl.bilibili_detections(pages, RUN_TS)
-    return found.select(F.floor(F.col("seq") / 100_000).cast("bigint").alias("seq"), "url", "title", "channel_id", F.col("extra.duration_secs").alias("seconds"), F.col("extra.view_count").alias("view_count"))
+    return found.select(F.col("place.page_seq").alias("seq"), "url", "title", "channel_id", F.col("extra.duration_secs").alias("seconds"), F.col("extra.view_count").alias("view_count"))
+
+
+#: Of three result pages one has links that are no addresses before its card, and one has no text.
+@query("""SELECT 'bilibili' AS platform, 'q' || (page_id % 7) AS query, page_id AS page_seq, CAST(page_id % 3 <> 1 AS INTEGER) AS n_found, CAST(CASE page_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS INTEGER) AS n_errors FROM pages""")
+def crawl_errors(spark, sf_dir):
+    """What each result page gives: detections and errors, side by side."""
+    n = F.col("page_id").cast("string")
+    card = F.concat(F.lit('<div class="bstar-video-card"><a href="/en/video/30'), F.lpad(n, 10, "0"), F.lit('"><img alt="Film '), n, F.lit('"></a></div>'))
+    broken = F.lit('<a href="http://[x">?</a><a href="http://[y">?</a>')
+    html = F.when(F.col("page_id") % 3 == 0, card).when(F.col("page_id") % 3 == 2, F.concat(broken, card))
+    pages = adapters.table(spark, sf_dir, "pages").select(F.concat(F.lit("q"), (F.col("page_id") % 7).cast("string")).alias("query"), html.alias("html"), F.col("page_id").alias("seq"))
+    found, lost = crawl.crawl({"bilibili": pages}, RUN_TS, ["bilibili"])
+    number = F.regexp_extract("url", "30([0-9]{10})$", 1).cast("bigint").alias("page_seq")
+    both = found.select("platform", F.col("query_used").alias("query"), number, F.lit(1).alias("good")).unionByName(lost.select("platform", "query", "page_seq", F.lit(0).alias("good")))
+    return both.groupBy("platform", "query", "page_seq").agg(F.sum("good").cast("int").alias("n_found"), F.sum(1 - F.col("good")).cast("int").alias("n_errors"))
 
 
 @query(f"WITH {PAGES} SELECT seq, " + " + ".join(f"CAST(contains(lower(snapshot_html), '{m}') AS INTEGER)" for m in ("href", "div", "script", "vidio")) + " AS hits FROM pgs")

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from uploadwatch import schemas
 from uploadwatch.config import Settings
 from uploadwatch.functions.urls import canonical_url
+from uploadwatch.operators.ordinals import numbered
 from uploadwatch.plans import run as batch_run
 from uploadwatch.sources.crawl import social_detections
 from uploadwatch.sources.tables import Table
@@ -23,18 +24,19 @@ def page_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def first_detections(pages: DataFrame, run_ts: str, late: str = "1 day") -> DataFrame:
     """A detection per canonical video address within the watermark, by the time pages were crawled; state is dropped once it passes."""
-    found = social_detections(pages.withWatermark("crawled_at", late), run_ts, keep=("crawled_at",)).withColumn("_url", canonical_url(F.col("url")))
+    found = social_detections(pages.withWatermark("crawled_at", late), run_ts, keep=("crawled_at",)).filter("failure is null").drop("failure").withColumn("_url", canonical_url(F.col("url")))
     return found.dropDuplicatesWithinWatermark(["_url"]).drop("_url")
 
 
-def keep_tables(pages: DataFrame, detections: Table, registry: Table, catalog: list[str], whitelist: DataFrame, run_ts: str, checkpoint: str, settings: Settings = Settings()) -> StreamingQuery:
+def keep_tables(pages: DataFrame, detections: Table, registry: Table, catalog: list[str] | DataFrame, whitelist: DataFrame, run_ts: str, checkpoint: str, settings: Settings = Settings()) -> StreamingQuery:
     """Each micro-batch is a run whose merges are keyed by cluster.  Versions name the batch they hold, so a batch that is tried again changes nothing that it has written before."""
     stream = f"{zlib.crc32(checkpoint.encode()):08x}"
 
     def each(batch: DataFrame, number: int) -> None:
         if detections.holds(stream, number):
             return
-        done = batch_run.run(social_detections(batch, run_ts), whitelist, catalog, run_ts, registry.read((stream, number)), detections.read(), settings)
+        found = social_detections(batch, run_ts).filter("failure is null")
+        done = batch_run.run(numbered(found, [F.col("place")]).drop("place", "failure"), whitelist, catalog, run_ts, registry.read((stream, number)), detections.read(), settings)
         if not registry.holds(stream, number):
             registry.write(done.registry, (stream, number))
         detections.write(done.detections, (stream, number))
