@@ -14,7 +14,9 @@ from uploadwatch.functions import text, urls
 from uploadwatch.operators import cluster, health, identity, registry, score, search
 from uploadwatch.plans import adapters, run
 from uploadwatch.plans.adapters import RUN_TS
+from uploadwatch.scratch import scratch_path
 from uploadwatch.sources import crawl, tables
+from uploadwatch.sources.buckets import BucketTable
 
 WHITELIST = ("src0", "src3", "src7")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -619,11 +621,25 @@ _TABLE_COLUMNS = "cluster_id, content_title, score, verdict, status, first_detec
     UNION ALL SELECT cluster_id, CASE WHEN seq % 4 <> 0 THEN 'new ' || content_title ELSE '' END, 100 - score, 'likely', 'new', 'later', 'later' FROM r WHERE came AND NOT was"""
 )
 def detections_merge(spark, sf_dir):
+    old, again = _two_batches(spark, sf_dir)
+    return tables.merge_detections(old, again).select(*_TABLE_COLUMNS.split(", "))
+
+
+def _two_batches(spark, sf_dir):
     n = F.col("seq")
     base = adapters.documents(spark, sf_dir).withColumns({"cluster_id": F.concat(F.lit("c"), n.cast("string")), "identity": F.struct(*(F.lit("").alias(c) for c in ("platform", "permanent_id", "display_name", "profile_url"))), "score": (n % 100).cast("int"), "verdict": F.lit("possible")})
     old = tables.detection_rows(base.filter(_IN_OLD)).withColumn("status", F.lit("reviewed"))
     again = base.filter(_IN_NEW).withColumns({"title": F.when(n % 4 != 0, F.concat(F.lit("new "), "title")).otherwise(""), "score": (100 - n % 100).cast("int"), "verdict": F.lit("likely"), "detected_at": F.lit("later")})
-    return tables.merge_detections(old, tables.detection_rows(again)).select(*_TABLE_COLUMNS.split(", "))
+    return old, tables.detection_rows(again)
+
+
+@query(SQL["detections_merge"])
+def detections_merge_buckets(spark, sf_dir):
+    """The same merge into a table in buckets, which rewrites only those the second batch meets."""
+    table = BucketTable(spark, scratch_path(spark, "bucket-table"), schemas.DETECTIONS_TABLE, ["cluster_id"])
+    for batch in _two_batches(spark, sf_dir):
+        table.merge(batch, tables.merge_detections)
+    return table.read().select(*_TABLE_COLUMNS.split(", "))
 
 
 def _stats(spark, sf_dir):
@@ -652,6 +668,32 @@ def overall_status(spark, sf_dir):
     return health.overall(health.checks(_stats(spark, sf_dir)))
 
 
+_CHANNEL_RUNS = """s AS (SELECT lang, source, count(*) FILTER (n_chars > 3000) AS raw, count(DISTINCT doc_id % 4) FILTER (n_chars > 3000) AS kept, count(*) FILTER (n_chars > 8000) AS confirmed, count(*) FILTER (n_chars < 300) AS failed FROM documents GROUP BY lang, source),
+    c AS (SELECT lang, source, 0 AS position, CASE WHEN raw = 0 THEN 'critical' ELSE 'ok' END AS status FROM s UNION ALL SELECT lang, source, 1, CASE WHEN failed > 0 THEN 'critical' ELSE 'ok' END FROM s
+      UNION ALL SELECT lang, source, 2, CASE WHEN raw = 0 THEN 'skipped' WHEN (raw - kept) / raw < 0.1 OR (raw - kept) / raw > 0.7 THEN 'degraded' ELSE 'ok' END FROM s
+      UNION ALL SELECT lang, source, 3, CASE WHEN raw = 0 THEN 'skipped' WHEN confirmed = 0 THEN 'degraded' ELSE 'ok' END FROM s UNION ALL SELECT lang, source, 4, CASE WHEN raw * 100 > 3600 THEN 'degraded' ELSE 'ok' END FROM s)"""
+
+
+def _channel_stats(spark, sf_dir):
+    """Run statistics per channel, long documents as detections and short ones as failed writes: some runs find nothing."""
+    d, long = adapters.table(spark, sf_dir, "documents"), F.col("n_chars") > 3000
+    return d.groupBy("lang", "source").agg(
+        F.count_if(long).cast("int").alias("detections_raw"), F.count_distinct(F.when(long, F.col("doc_id") % 4)).cast("int").alias("clusters_after_dedup"),
+        F.count_if(F.col("n_chars") > 8000).cast("int").alias("confirmed_count"), F.count_if(F.col("n_chars") < 300).cast("int").alias("sheet_write_errors"),
+    ).withColumns({c: F.lit(0) for c in ("likely_count", "possible_count", "ignored_count")} | {"duration_seconds": (F.col("detections_raw") * 100).cast("double")})
+
+
+@query(f"WITH {_CHANNEL_RUNS} SELECT position, status, count(*) AS runs FROM c GROUP BY ALL")
+def health_of_channels(spark, sf_dir):
+    """All branches of the checks: runs without detections and runs with failed writes among them."""
+    return health.checks(_channel_stats(spark, sf_dir)).groupBy("position", "status").agg(F.count("*").alias("runs"))
+
+
+@query(f"WITH {_CHANNEL_RUNS} SELECT CASE max(CASE status WHEN 'critical' THEN 2 WHEN 'degraded' THEN 1 ELSE 0 END) WHEN 2 THEN 'critical' WHEN 1 THEN 'degraded' ELSE 'healthy' END AS overall_status FROM c")
+def overall_of_channels(spark, sf_dir):
+    return health.overall(health.checks(_channel_stats(spark, sf_dir)))
+
+
 @query("SELECT 'run-' || lang AS run_id, 90.5::DOUBLE AS duration_seconds, CAST(count(*) AS INTEGER) AS detections_found, 'facebook' AS platforms_crawled FROM documents GROUP BY lang")
 def run_log(spark, sf_dir):
     row = tables.run_log_row(_stats(spark, sf_dir), F.concat(F.lit("run-"), "lang"), "2026-01-01T00:00:00Z", "2026-01-01T00:01:30.5Z")
