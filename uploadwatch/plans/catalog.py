@@ -621,11 +621,11 @@ _TABLE_COLUMNS = "cluster_id, content_title, score, verdict, status, first_detec
     UNION ALL SELECT cluster_id, CASE WHEN seq % 4 <> 0 THEN 'new ' || content_title ELSE '' END, 100 - score, 'likely', 'new', 'later', 'later' FROM r WHERE came AND NOT was"""
 )
 def detections_merge(spark, sf_dir):
-    old, again = _two_batches(spark, sf_dir)
+    old, again = _detection_batches(spark, sf_dir)
     return tables.merge_detections(old, again).select(*_TABLE_COLUMNS.split(", "))
 
 
-def _two_batches(spark, sf_dir):
+def _detection_batches(spark, sf_dir):
     n = F.col("seq")
     base = adapters.documents(spark, sf_dir).withColumns({"cluster_id": F.concat(F.lit("c"), n.cast("string")), "identity": F.struct(*(F.lit("").alias(c) for c in ("platform", "permanent_id", "display_name", "profile_url"))), "score": (n % 100).cast("int"), "verdict": F.lit("possible")})
     old = tables.detection_rows(base.filter(_IN_OLD)).withColumn("status", F.lit("reviewed"))
@@ -637,7 +637,7 @@ def _two_batches(spark, sf_dir):
 def detections_merge_buckets(spark, sf_dir):
     """The same merge into a table in buckets, which rewrites only those the second batch meets."""
     table = BucketTable(spark, scratch_path(spark, "bucket-table"), schemas.DETECTIONS_TABLE, ["cluster_id"])
-    for batch in _two_batches(spark, sf_dir):
+    for batch in _detection_batches(spark, sf_dir):
         table.merge(batch, tables.merge_detections)
     return table.read().select(*_TABLE_COLUMNS.split(", "))
 
