@@ -395,6 +395,51 @@ def test_toxicity_scores_by_plain_arithmetic(spark):
     assert all(i == j and abs(a - b) < 1e-6 for (i, a), (j, b) in zip(got, sorted(wanted), strict=True))
 
 
+def test_ftrl_by_plain_arithmetic():
+    import math
+
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 30, 6)).astype(np.int32) for _ in range(60)]
+    labels = np.array([float(3 in r or 5 in r) for r in rows])
+    a, b, l1, l2, bias_at = toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2, 1 << toxicity.BITS
+    z, n, order = {}, {}, np.random.default_rng(7)
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((b + math.sqrt(n[i])) / a + l2)
+    for _ in range(4):
+        for k in order.permutation(len(rows)):
+            held = [*map(int, rows[k]), bias_at]
+            w = {i: weight(i) for i in held}
+            gap = 1 / (1 + math.exp(-sum(w.values()))) - labels[k]
+            for i in held:
+                before = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + gap - (math.sqrt(before + gap * gap) - math.sqrt(before)) / a * w[i]
+                n[i] = before + gap * gap
+    at, values, bias = toxicity.fit(rows, labels, epochs=4)
+    wanted = {i: weight(i) for i in z if i != bias_at and weight(i)}
+    assert at.tolist() == sorted(wanted) and np.allclose(values, [wanted[i] for i in sorted(wanted)]) and abs(bias - weight(bias_at)) < 1e-9
+
+
+def test_toxicity_calibration():
+    rng = np.random.default_rng(2)
+    truth = rng.normal(size=4000) * 3 - 1
+    labels = (rng.random(4000) < 1 / (1 + np.exp(-truth))).astype(float)
+    scale, shift = toxicity.calibrate((truth - 2) / 4, labels)  # shrunk and moved
+    assert abs(scale - 4) < 0.4 and abs(shift - 2) < 0.4
+    clean = toxicity.calibrate(np.array([-1.0, -0.5, 0.5, 1.0]), np.array([0.0, 0.0, 1.0, 1.0]))  # cleanly parted
+    assert 0.5 < clean[0] < 5 and abs(clean[1]) < 0.1
+    rows, marks = [np.array([k % 2], np.int32) for k in range(40)], np.array([float(k % 2) for k in range(40)])
+    assert not np.isnan(toxicity.left_out_sums(rows, marks)).any() and np.isnan(toxicity.left_out_sums(rows[:2], marks[:2])).all()
+    bias = lambda odds: toxicity.fit_calibrated(rows, marks, odds)[2]
+    assert abs(bias(0.1) - bias(1.0) - np.log(0.1)) < 1e-9 and bias(1.0) == bias(None)
+
+
+def test_toxicity_of_given_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    frame, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = toxicity.toxicity(frame, labels).filter("held_out").join(labels, "doc_id").collect()
+    high, low = [r.score for r in got if r.toxic == 1], [r.score for r in got if r.toxic == 0]
+    assert np.mean([x > y for x in high for y in low]) > 0.85 and np.mean([x >= 0.7 for x in low]) < 0.02
+
+
 def test_toxicity_of_repeated_ids(spark):
     """Of several texts of one labelled id the same is learned from, however rows are dealt."""
     rows = [(i, f"word{i % 7} " + ("vile " if i % 2 else "kind ") + f"filler{i % 3}") for i in range(60)] + [(i, f"second text of {i} vile") for i in range(0, 60, 3)]

@@ -6,6 +6,9 @@ exactly zero (L1), so the weights that score the whole corpus are few and small
 
 The model is fitted on a bounded sample of labelled rows: at most TRAIN_TOXIC toxic and TRAIN_CLEAN clean
 ones, those whose id hashes lowest.  One executor task fits it, and the driver gets the non-zero weights only.
+L1 shrinks sums, and the sample holds toxic rows more often than the labels do, so sums are calibrated: FOLDS further
+models, each fitted without one part of the sample, score that part; a scale and a shift make probabilities of these sums,
+and the shift takes the share of toxic rows from all labels.  Both go into the weights and the bias.
 Rows with crc32(doc_id) mod 3 = 1 are held out and never learned from.  Scores depend on the text alone.
 
 Cases: null and empty texts have no features and get the score of the bias; a null doc_id is scored, not
@@ -27,7 +30,8 @@ from uploadwatch.llm.common import bounded_batches, row_key, text_bytes
 
 BITS = 20
 TRAIN_TOXIC, TRAIN_CLEAN = 6_000, 9_000
-ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 3.0, 0.0, 6
+ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 8.0, 0.0, 6  # L1 by the loss on parts of the sample that were left out
+FOLDS = 3
 THRESHOLD = 0.7
 _PAIR, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SHIFT = np.uint64(64 - BITS)
@@ -68,6 +72,59 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed:
     return at.astype(np.int32), every[at], float(every[size])
 
 
+def calibrate(sums: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Scale and shift that make log odds of sums of rows that were not learned from.
+
+    Logistic regression on the sums by Newton's method, towards a scale of 1 by a normal prior and with labels drawn in by
+    one made-up row of each kind, so that it ends where sums part the labels cleanly.
+    """
+    high = labels.sum()
+    target = np.where(labels > 0, (high + 1) / (high + 2), 1 / (len(labels) - high + 2))
+    x = np.stack([sums, np.ones(len(sums))])
+    prior = np.diag([1.0, 1e-3])
+
+    def loss(at: np.ndarray) -> float:
+        z = at @ x
+        return float((np.logaddexp(0, z) - target * z).sum() + (at - [1, 0]) @ prior @ (at - [1, 0]) / 2)
+
+    at = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = _probability(at @ x)
+        step = np.linalg.solve((x * (p * (1 - p))) @ x.T + prior, x @ (p - target) + prior @ (at - [1, 0]))
+        pace = 1.0
+        while pace > 1e-6 and loss(at - pace * step) > loss(at):
+            pace /= 2
+        at = at - pace * step
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(at[0]), float(at[1])
+
+
+def left_out_sums(rows: list[np.ndarray], labels: np.ndarray, folds: int = FOLDS) -> np.ndarray:
+    """Each row's sum by a model of the other parts; a part's rows stay nan where the others have labels of one kind."""
+    part, out, dense = np.arange(len(rows)) % folds, np.full(len(rows), np.nan), np.zeros(1 << BITS)
+    for k in range(folds):
+        others = labels[part != k]
+        if not 0 < others.sum() < len(others):
+            continue
+        at, values, bias = fit([x for x, p in zip(rows, part) if p != k], others)
+        dense[:] = 0
+        dense[at] = values
+        out[part == k] = [dense[rows[i]].sum() + bias for i in np.flatnonzero(part == k)]
+    return out
+
+
+def fit_calibrated(rows: list[np.ndarray], labels: np.ndarray, odds: float | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """As ``fit``, in log odds; ``odds`` of a toxic row among all labels, if other than the sample's."""
+    at, values, bias = fit(rows, labels)
+    sums = left_out_sums(rows, labels)
+    seen = ~np.isnan(sums)
+    scale, shift = calibrate(sums[seen], labels[seen]) if seen.any() else (1.0, 0.0)
+    if odds is not None:
+        shift += float(np.log(odds) - np.log(labels.sum() / (len(labels) - labels.sum())))
+    return at, values * scale, bias * scale + shift
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
@@ -79,6 +136,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     chosen = [known.filter(rule).orderBy(order, "doc_id").limit(most) for rule, most in (("toxic = 1", TRAIN_TOXIC), ("toxic <> 1", TRAIN_CLEAN))]
     sample = F.broadcast(chosen[0].unionByName(chosen[1]).select("doc_id", (F.col("toxic") == 1).cast("int").alias("label")))  # at most TRAIN_TOXIC + TRAIN_CLEAN rows
 
+    n_toxic, n_clean = known.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") != 1)).first()
+    odds = n_toxic / n_clean if n_toxic and n_clean else None
+
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(t).tobytes() for t in batch.column("text").to_pylist()]
@@ -90,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
             kept += [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column("features")]
             marks += batch.column("label").to_pylist()
         if 0 < sum(marks) < len(marks):
-            at, values, bias = fit(kept, np.array(marks, np.float64))
+            at, values, bias = fit_calibrated(kept, np.array(marks, np.float64), odds)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(values, bias))], names=["at", "weight"])
 
     # Of several texts of one id always the same is learned from.
