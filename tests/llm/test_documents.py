@@ -369,8 +369,28 @@ def test_license_classes_by_plain_arithmetic(spark):
         probability = 1 / sum(math.exp(x - z[best]) for x in z)
         assert abs(r.probability - probability) < 1e-6
         assert r.family == (licenses.CLASSES[best] if probability >= licenses.THRESHOLD else "unknown")
-        share = max((len(held.intersection(f)) / len(f) for f in map(licenses.paragraph_features, licenses.TEMPLATES.get(licenses.CLASSES[best], []))), default=0)
-        assert r.confirmed == (best > 1 and probability >= licenses.THRESHOLD and share >= licenses.CONFIRM)
+        confirmed = []
+        for c, name in enumerate(licenses.CLASSES):
+            for t in licenses.TEMPLATES.get(name, []):
+                f = set(licenses.paragraph_features(t))
+                own = {x for x in f if not any(x in licenses.paragraph_features(u) for other, us in licenses.TEMPLATES.items() if other != name for u in us)}
+                numbers = {x for x in f if any(x in w for w in licenses.FOREIGN.values()) or (" " not in x and any(d.isdigit() for d in x))}
+                enough = len(held & f) >= licenses.CONFIRM * len(f) and len(held & own) >= licenses.CONFIRM * len(own) and numbers <= held
+                if enough and not held.intersection(licenses.FOREIGN.get(name, ())) and z[c] > z[0]:
+                    confirmed.append(name)
+        assert sorted(r.families) == sorted(set(confirmed)) and r.confirmed == bool(confirmed)
+
+
+def test_neighbouring_licences(spark):
+    cases = [
+        ("Licensed under the GNU General Public License, version 2.", "gpl-2.0"), ("Licensed under the GNU Affero General Public License, version 3.", "agpl-3.0"), ("Licensed under the GNU Lesser General Public License, version 3.", "lgpl-3.0"),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "agpl-3.0"),
+        ("This work is licensed under a Creative Commons Attribution 3.0 Unported License.", ""), ("Licensed under CC BY-NC-SA 4.0.", ""), ("Licensed under CC BY-ND 4.0.", ""), ("Licensed under the Apache License, Version 1.1.", ""),
+        ("Licensed under either of Apache License, Version 2.0 or MIT License at your option.", "apache-2.0,mit"), ("The code is under the MIT License and the text is licensed under CC BY 4.0.", "cc-by-4.0,mit"),
+        ("License: MIT", "mit"), ("Released under GPLv3", "gpl-3.0"), ("This is free and unencumbered software released into the public domain.", "unlicense"), ("Apache License 2.0", "apache-2.0"), ("She took her driving license to the general store.", ""),
+    ]
+    got = {r.doc_id: r.families for r in licenses.licenses(docs(spark, [(i, t) for i, (t, _) in enumerate(cases)])).collect()}
+    assert [(t, got[i]) for i, (t, _) in enumerate(cases)] == cases
 
 
 def test_toxicity_scores_by_plain_arithmetic(spark):

@@ -8,7 +8,11 @@ words left out and with words around them teach the families; lines of the corpu
 sentences that only mention licences teach "other", and grants under made-up names teach "unknown".  An L1
 penalty keeps few weights.  Half of all variants are kept back: on them a temperature calibrates the
 probabilities, and "unknown" also takes a paragraph for which no class reaches THRESHOLD.  A family counts as
-confirmed if a template of it shares at least CONFIRM of its words and pairs with the paragraph.
+confirmed if a template of it shares at least CONFIRM of its words and pairs with the paragraph, and CONFIRM of those that
+no other family's templates have; if all words of the template with digits, or from FOREIGN, are there, so that a version is never
+taken for another; if no further word of FOREIGN is, which tells of a neighbouring licence; and if the model gives it more than "other".
+A paragraph that names several licences so has several families.  Of a licence and a neighbour whose FOREIGN words stand in
+one paragraph, as CC BY and CC BY-SA, the neighbour alone counts.
 
 Scoring uses DataFrame functions only.  A bound from the model's own weights drops texts, then paragraphs, that
 score "other" whatever else they hold, and only those (see Bound).  The rest are classed once each, through a
@@ -35,24 +39,35 @@ from uploadwatch.scratch import materialize
 
 #: Notices by which texts name their licence.
 TEMPLATES = {
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the Apache License 2.0.", "SPDX-License-Identifier: Apache-2.0",
+    "apache-2.0": ["Apache License 2.0", "License: Apache-2.0", "Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the Apache License 2.0.", "SPDX-License-Identifier: Apache-2.0",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."],
-    "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, under the MIT License.", "SPDX-License-Identifier: MIT",
+    "mit": ["MIT License", "License: MIT", "Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, under the MIT License.", "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."],
-    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software under the terms of the GNU General Public License, either version 3 or any later version.", "SPDX-License-Identifier: GPL-3.0",
+    "gpl-3.0": ["GNU General Public License v3.0", "Released under GPLv3", "This work is licensed under the GNU General Public License, version 3.", "This program is free software under the terms of the GNU General Public License, either version 3 or any later version.", "SPDX-License-Identifier: GPL-3.0",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "gpl-2.0": ["This work is licensed under the GNU General Public License, version 2.", "GNU General Public License v2.0", "Released under GPLv2", "SPDX-License-Identifier: GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "agpl-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "Released under AGPLv3", "SPDX-License-Identifier: AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "lgpl-3.0": ["Licensed under the GNU Lesser General Public License, version 3.", "Released under LGPLv3", "SPDX-License-Identifier: LGPL-3.0"],
     "lgpl-2.1": ["Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD License.", "Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause",
+    "bsd": ["BSD License", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD License.", "Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Released under the ISC License.", "SPDX-License-Identifier: ISC"],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
+    "mpl-2.0": ["Mozilla Public License 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "cc-by-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc0-1.0": ["Released into the public domain under CC0 1.0 Universal.", "SPDX-License-Identifier: CC0-1.0"],
     "reserved": ["All rights reserved.", "Copyright. All rights reserved.", "All rights reserved. No part of this work may be reproduced without permission."],
 }
+#: Words of neighbouring licences that share a family's templates.
+FOREIGN = {
+    "gpl-3.0": ("affero", "agpl", "lesser", "lgpl"), "gpl-2.0": ("affero", "agpl", "lesser", "lgpl"), "lgpl-3.0": ("affero", "agpl"), "lgpl-2.1": ("affero", "agpl"),
+    "cc-by-4.0": ("sa", "nc", "nd", "sharealike", "noncommercial", "noderivatives"), "cc-by-sa-4.0": ("nc", "nd", "noncommercial", "noderivatives"), "cc-by-nc-4.0": ("sa", "nd", "sharealike", "noderivatives"),
+}
 #: Sentences that speak of licences and grant none.
 OTHER = [
     "The driver showed his licence and the officer let him pass.", "Her fishing license expired in the spring.", "They applied for a licence to sell food at the public market.",
@@ -204,28 +219,45 @@ def paragraphs(docs: DataFrame, model: tuple[list[tuple[str, list[float]]], list
     return pieces.select("doc_id", "_key", "block", "run", (F.col("_several") & (F.col("_n") == 0)).alias("joined"), F.trim("paragraph").alias("paragraph"))
 
 
+def template_features() -> list[tuple[int, int, str, int, int, int]]:
+    """class, template, feature, kind (0: of the template, 1: a word of FOREIGN), whether no other family has it, whether a paragraph must have it: a word with a digit, or one that tells neighbours apart."""
+    held = {(c, k): paragraph_features(t) for c, family in enumerate(CLASSES) for k, t in enumerate(TEMPLATES.get(family, []))}
+    families: dict[str, set[int]] = {}
+    for (c, _), found in held.items():
+        for f in found:
+            families.setdefault(f, set()).add(c)
+    apart = {w for words in FOREIGN.values() for w in words}
+    rows = [(c, k, f, 0, int(len(families[f]) == 1), int(f in apart or (" " not in f and any(x.isdigit() for x in f)))) for (c, k), found in held.items() for f in found]
+    return rows + [(c, k, f, 1, 0, 0) for c, k in held for f in FOREIGN.get(CLASSES[c], ())]
+
+
 def classify(found: DataFrame, model: tuple[list[tuple[str, list[float]]], list[float]]) -> DataFrame:
-    """paragraph, family ("other", "unknown" or a licence), probability, confirmed of distinct paragraphs."""
+    """paragraph, family ("other", "unknown" or a licence), probability, families (confirmed ones), confirmed (whether there are any) of distinct paragraphs."""
     spark = found.sparkSession
     weights, bias = model
-    shapes = [(c, k, f) for c, family in enumerate(CLASSES) for k, t in enumerate(TEMPLATES.get(family, [])) for f in paragraph_features(t)]
-    totals = [(c, k, len(paragraph_features(t))) for c, family in enumerate(CLASSES) for k, t in enumerate(TEMPLATES.get(family, []))]
-    side = F.broadcast(spark.createDataFrame(weights, "feature string, w array<double>"))  # both bounded by the templates and SAMPLE
-    forms = F.broadcast(spark.createDataFrame(shapes, "class int, template int, feature string").join(F.broadcast(spark.createDataFrame(totals, "class int, template int, total int")), ["class", "template"]))
+    side = F.broadcast(spark.createDataFrame(weights, "feature string, w array<double>"))  # bounded by the templates and SAMPLE
+    forms = spark.createDataFrame(template_features(), "class int, template int, feature string, foreign int, own int, number int")
+    totals = forms.groupBy("class", "template").agg(F.count_if(F.col("foreign") == 0).alias("total"), F.sum("own").alias("n_own"), F.sum("number").alias("n_number"))
+    forms = F.broadcast(forms.join(F.broadcast(totals), ["class", "template"]))  # bounded by the templates
     distinct = found.select("paragraph").distinct()
     spread = distinct.select("paragraph", F.explode(_features(F.col("paragraph"))).alias("feature"))
     sums = spread.join(side, "feature", "left").groupBy("paragraph").agg(*(F.coalesce(F.sum(F.get("w", F.lit(c))), F.lit(0.0)).alias(f"z{c}") for c in range(len(CLASSES))))
     logits = F.array(*(F.col(f"z{c}") + F.lit(bias[c]) for c in range(len(CLASSES))))
     top = F.array_max("logits")
     scored = sums.select("paragraph", logits.alias("logits")).select(
-        "paragraph", (F.array_position("logits", top) - 1).cast("int").alias("best"), (1 / F.aggregate("logits", F.lit(0.0), lambda acc, z: acc + F.exp(z - top))).alias("probability")
+        "paragraph", "logits", (F.array_position("logits", top) - 1).cast("int").alias("best"), (1 / F.aggregate("logits", F.lit(0.0), lambda acc, z: acc + F.exp(z - top))).alias("probability")
+    )
+    shared = spread.join(forms, "feature").groupBy("paragraph", "class", "template").agg(
+        F.count_if(F.col("foreign") == 0).alias("n"), F.sum("own").alias("own"), F.sum("number").alias("number"), F.sum("foreign").alias("foreign"), *(F.max(c).alias(c) for c in ("total", "n_own", "n_number"))
     )
-    shared = spread.join(forms, "feature").groupBy("paragraph", "class", "template").agg((F.count("*") / F.max("total")).alias("share"))
-    close = shared.groupBy("paragraph", F.col("class").alias("best")).agg(F.max("share").alias("share"))
-    joined = scored.join(close, ["paragraph", "best"], "left")
-    family = F.when(F.col("probability") < THRESHOLD, "unknown").otherwise(F.element_at(F.array(*map(F.lit, CLASSES)), F.col("best") + 1))
-    confirmed = (F.col("best") > 1) & (F.col("probability") >= THRESHOLD) & (F.coalesce("share", F.lit(0.0)) >= CONFIRM)
-    return joined.select("paragraph", family.alias("family"), "probability", confirmed.alias("confirmed"))
+    held = (F.col("n") >= CONFIRM * F.col("total")) & (F.col("own") >= CONFIRM * F.col("n_own")) & (F.col("number") == F.col("n_number")) & (F.col("foreign") == 0)
+    close = shared.filter(held).groupBy("paragraph").agg(F.array_sort(F.collect_set("class")).alias("close"))  # families at most
+    joined = scored.join(close, "paragraph", "left")
+    names = F.array(*map(F.lit, CLASSES))
+    family = F.when(F.col("probability") < THRESHOLD, "unknown").otherwise(F.element_at(names, F.col("best") + 1))
+    likely = F.filter(F.coalesce("close", F.array().cast("array<int>")), lambda c: F.get("logits", c) > F.get("logits", F.lit(0)))
+    families = F.transform(likely, lambda c: F.element_at(names, c + 1))
+    return joined.select("paragraph", family.alias("family"), "probability", families.alias("families"), (F.size(families) > 0).alias("confirmed"))
 
 
 def _grants(line: str) -> bool:
@@ -251,16 +283,17 @@ def licenses(docs: DataFrame) -> DataFrame:
     judged = materialize(classify(found, model).filter("family <> 'other'"), "classes")
     place = ["doc_id", "_key", "block", "run"]
     near = found.join(judged, "paragraph").groupBy(*place).agg(
-        F.collect_list(F.when(~F.col("joined") & F.col("confirmed"), F.col("family"))).alias("lines"),
+        F.flatten(F.collect_list(F.when(~F.col("joined"), F.col("families")))).alias("lines"),
         F.count_if(~F.col("joined") & ~F.col("confirmed")).alias("open"),
-        F.max(F.when(F.col("joined") & F.col("confirmed"), F.col("family"))).alias("whole"),
+        F.flatten(F.collect_list(F.when(F.col("joined"), F.col("families")))).alias("whole"),
         F.max(F.col("joined") & ~F.col("confirmed")).alias("whole_open"),
         F.max(F.when(F.col("confirmed") & ~F.col("joined"), F.col("probability"))).alias("best_line"),
         F.max(F.when(F.col("confirmed") & F.col("joined"), F.col("probability"))).alias("best_whole"),
     )
-    adds = F.coalesce(~F.array_contains("lines", F.col("whole")), F.lit(False))
+    added = F.array_except("whole", "lines")
+    adds = F.size(added) > 0
     unsettled = F.when(adds, 0).when(F.col("open") > 0, F.col("open")).otherwise(F.when(F.col("whole_open") & (F.size("lines") == 0), 1).otherwise(0))
-    near = near.select(*place, F.when(adds, F.array_append("lines", F.col("whole"))).otherwise(F.col("lines")).alias("families"), unsettled.alias("open"), F.when(adds, F.greatest("best_line", "best_whole")).otherwise(F.col("best_line")).alias("best"))
+    near = near.select(*place, F.concat("lines", added).alias("families"), unsettled.alias("open"), F.when(adds, F.greatest("best_line", "best_whole")).otherwise(F.col("best_line")).alias("best"))
     per = near.groupBy(F.col("doc_id").alias("_d"), F.col("_key").alias("_k")).agg(
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("families")))), ",").alias("families"), F.sum(F.size("families")).alias("n_confirmed"), F.sum("open").alias("n_unknown"), F.max("best").alias("best")
     )
