@@ -12,6 +12,7 @@ from uploadwatch import config, schemas
 from uploadwatch.functions import pages as on_pages
 from uploadwatch.functions import text, urls
 from uploadwatch.operators import cluster, health, identity, registry, score, search
+from uploadwatch.operators.growing import GrowingClusters
 from uploadwatch.plans import adapters, run
 from uploadwatch.plans.adapters import RUN_TS
 from uploadwatch.scratch import scratch_path
@@ -372,6 +373,16 @@ def dedupe_components(spark, sf_dir):
     return cluster.deduplicate(adapters.documents(spark, sf_dir), fuzzy_threshold=None).select("seq", "component")
 
 
+@query(f"WITH RECURSIVE {_COMPONENTS} SELECT seq, component FROM parts")
+def dedupe_in_runs(spark, sf_dir):
+    """Three runs, each taking in its detections beside the components that are kept."""
+    every = adapters.documents(spark, sf_dir)
+    kept = GrowingClusters(spark, scratch_path(spark, "growing"), 16)
+    for n in range(3):
+        kept.add(every.filter(F.pmod("seq", F.lit(3)) == 2 - n), ("runs", n))
+    return every.select("seq").join(kept.read(), "seq", "left").withColumn("component", F.coalesce("component", "seq"))
+
+
 _RANKED = """ranked AS (
   SELECT docs.*, component, count(*) OVER (PARTITION BY component) AS n, row_number() OVER (PARTITION BY component ORDER BY length(snapshot_html) DESC, detected_at, docs.seq) AS place FROM docs JOIN parts USING (seq))"""
 _CLUSTERS = f"{_COMPONENTS}, {_RANKED}"

@@ -66,6 +66,12 @@ class BucketTable:
         held = [m for m in self._manifests() if before is None or m["batches"].get(before[0], -1) < before[1]]
         return self._of(held[-1] if held else None)
 
+    def meeting(self, keys: DataFrame, before: tuple[str, int] | None = None) -> DataFrame:
+        """Rows whose key is among keys; only the buckets of these keys are read."""
+        held = [m for m in self._manifests() if before is None or m["batches"].get(before[0], -1) < before[1]]
+        met = sorted(r[0] for r in keys.select(self._bucket()).distinct().collect())  # buckets at most
+        return self._of(held[-1] if held else None, met).join(keys.select(*self.keys).distinct(), self.keys, "left_semi")
+
     def merge(self, rows: DataFrame, how: Callable[[DataFrame, DataFrame], DataFrame], batch: tuple[str, int] | None = None) -> list[int]:
         """``how(old, rows)`` for the buckets that rows meet, which must keep a row's key; gives the buckets that were rewritten."""
         held = self._manifests()
