@@ -362,6 +362,7 @@ def test_license_classes_by_plain_arithmetic(spark):
     frame = docs(spark, list(enumerate(paragraphs)))
     weights, bias = licenses.fit(frame)
     table = dict(weights)
+    shapes = {name: [set(licenses.paragraph_features(t)) for t in ts] for name, ts in licenses.TEMPLATES.items()}
     for r in licenses.classify(frame.selectExpr("text as paragraph"), (weights, bias)).collect():
         held = set(licenses.paragraph_features(r.paragraph))
         z = [b + sum(table[f][c] for f in held if f in table) for c, b in enumerate(bias)]
@@ -371,9 +372,8 @@ def test_license_classes_by_plain_arithmetic(spark):
         assert r.family == (licenses.CLASSES[best] if probability >= licenses.THRESHOLD else "unknown")
         confirmed = []
         for c, name in enumerate(licenses.CLASSES):
-            for t in licenses.TEMPLATES.get(name, []):
-                f = set(licenses.paragraph_features(t))
-                own = {x for x in f if not any(x in licenses.paragraph_features(u) for other, us in licenses.TEMPLATES.items() if other != name for u in us)}
+            for f in shapes.get(name, []):
+                own = f.difference(*(g for other, gs in shapes.items() if other != name for g in gs))
                 numbers = {x for x in f if any(x in w for w in licenses.FOREIGN.values()) or (" " not in x and any(d.isdigit() for d in x))}
                 enough = len(held & f) >= licenses.CONFIRM * len(f) and len(held & own) >= licenses.CONFIRM * len(own) and numbers <= held
                 if enough and not held.intersection(licenses.FOREIGN.get(name, ())) and z[c] > z[0]:
