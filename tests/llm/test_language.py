@@ -182,6 +182,13 @@ def test_held_out_texts_score_better(spark, sf_dir):
     assert sum(r.score for r in got) > 0.98 * sum(r.base_score for r in got) and sum(r.score > r.base_score for r in got) > 0.8 * len(got)
 
 
+def test_all_learned_texts_teach(spark):
+    order = "one two three four five six seven".split()
+    docs = [(i, " ".join(order[(i + k) % 7] for k in range(100)), "x", "y") for i in range(2000)]
+    got = lm.scores(spark.createDataFrame(docs, DOCS), sample=1, chunk=30_000).filter("held_out").collect()  # one window shows next to nothing of the order
+    assert len(got) > 200 and sum(r.score for r in got) > 0.6 * sum(r.base_score for r in got)
+
+
 def test_scores_of_nothing(spark):
     assert lm.scores(spark.createDataFrame([], DOCS)).count() == 0
     alone = lm.scores(spark.createDataFrame([(None, "a b", "x", "y")], DOCS)).collect()
