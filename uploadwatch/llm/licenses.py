@@ -231,6 +231,13 @@ def template_features() -> list[tuple[int, int, str, int, int, int]]:
     return rows + [(c, k, f, 1, 0, 0) for c, k in held for f in FOREIGN.get(CLASSES[c], ())]
 
 
+def spread_features(distinct: DataFrame, weights: list[tuple[str, list[float]]]) -> DataFrame:
+    """paragraph, feature: those that the model or a template has, as others tell nothing; a paragraph of other words alone keeps one row without a feature."""
+    known = F.lit(sorted({f for f, _ in weights} | {f for _, _, f, *_ in template_features()}))
+    worded = distinct.select("paragraph", _features(F.col("paragraph")).alias("_all")).filter(F.size("_all") > 0)
+    return worded.select("paragraph", F.explode_outer(F.array_intersect("_all", known)).alias("feature"))
+
+
 def classify(found: DataFrame, model: tuple[list[tuple[str, list[float]]], list[float]]) -> DataFrame:
     """paragraph, family ("other", "unknown" or a licence), probability, families (confirmed ones), confirmed (whether there are any) of distinct paragraphs."""
     spark = found.sparkSession
@@ -240,7 +247,7 @@ def classify(found: DataFrame, model: tuple[list[tuple[str, list[float]]], list[
     totals = forms.groupBy("class", "template").agg(F.count_if(F.col("foreign") == 0).alias("total"), F.sum("own").alias("n_own"), F.sum("number").alias("n_number"))
     forms = F.broadcast(forms.join(F.broadcast(totals), ["class", "template"]))  # bounded by the templates
     distinct = found.select("paragraph").distinct()
-    spread = distinct.select("paragraph", F.explode(_features(F.col("paragraph"))).alias("feature"))
+    spread = spread_features(distinct, weights)
     sums = spread.join(side, "feature", "left").groupBy("paragraph").agg(*(F.coalesce(F.sum(F.get("w", F.lit(c))), F.lit(0.0)).alias(f"z{c}") for c in range(len(CLASSES))))
     logits = F.array(*(F.col(f"z{c}") + F.lit(bias[c]) for c in range(len(CLASSES))))
     top = F.array_max("logits")
