@@ -189,6 +189,23 @@ def test_all_learned_texts_teach(spark):
     assert len(got) > 200 and sum(r.score for r in got) > 0.6 * sum(r.base_score for r in got)
 
 
+def test_network_takes_a_place_a_word(spark):
+    words = ["incomprehensibilities" * 3, "the", "x" * 500]  # many subwords each
+    row = lm.chunks(spark.createDataFrame([(0, " ".join(words * 4), "x", "y"), (1, "", "x", "y")], DOCS).coalesce(1)).first().asDict()
+    row |= {"n": np.array([4, 4, 4], "<i8").tobytes(), "entry": np.array([1, 2, lm.PLACES], "<u2").tobytes()}
+    entries = attention.Vocabulary(np.arange(attention.KNOWN + 1), np.arange(attention.KNOWN + 1) % attention.CLASSES, np.zeros(attention.KNOWN + 1))
+    own = lm._KnownChunk(row, entries, 2)
+    assert [list(own.vocabulary.entry[s]) for s in own.streams([0, 1])] == [[0, *[1, 2, lm.PLACES] * 4, 0], [0, 0]]
+
+
+def test_rare_words_join_groups_of_like_words():
+    one, two = ["handed", "anders", "landing", "bandit"], ["queux", "lieux", "cieuxe", "mieux"]
+    table = lm._table(one + two, np.array([3] * 4 + [5] * 4))
+    assert list(lm._evidence(["stranded", "vieux", "and" * 9000], table).argmax(1)) == [3, 5, 3]
+    alone = [lm._evidence([w], table)[0] for w in ("stranded", "vieux", "é")]
+    assert np.allclose(lm._evidence(["stranded", "vieux", "é"], table), alone)  # nothing leaks from a word's neighbours
+
+
 def test_scores_of_nothing(spark):
     assert lm.scores(spark.createDataFrame([], DOCS)).count() == 0
     alone = lm.scores(spark.createDataFrame([(None, "a b", "x", "y")], DOCS)).collect()
